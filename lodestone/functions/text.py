@@ -21,7 +21,7 @@ def collapse(col: Column | str) -> Column:
 def letters_digits(col: Column | str) -> Column:
     """Lower-case letters and digits only; null becomes the empty string. Decomposed й and ё are composed first."""
     c = F.lower(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")))
-    c = F.replace(F.replace(c, F.lit("й"), F.lit("й")), F.lit("ё"), F.lit("ё"))
+    c = F.replace(F.replace(c, F.lit("\u0438\u0306"), F.lit("\u0439")), F.lit("\u0435\u0308"), F.lit("\u0451"))
     return F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
 
 
