@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import orphans
+from lodestone.operators import orphans, units
 from lodestone.session import table
 
 
@@ -36,6 +36,27 @@ def p1_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return orphans.snapshots(*_references(spark, d))
 
 
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    place = F.coalesce(
+        F.regexp_extract("chunk_id", r"#(\d+)$", 1).try_cast("bigint"), F.pmod(F.xxhash64("entity_row_id"), F.lit(1 << 20))
+    )
+    rows = table(spark, d, "llm_entities").withColumn("__place", place)
+    seen = units.observations(rows, "entity_row_id", "source_document", "canonical_name", "attributes", "__place")
+    return units.common_values(seen, table(spark, d, "unit_reference"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, d).withColumnRenamed("row_id", "entity_row_id").distinct()
+
+
+def p5_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Per quantity: values, and the least and greatest bound in the common unit."""
+    v = _values(spark, d)
+    low = F.regexp_extract("common_value", r"^(-?\d+)", 1).try_cast("bigint")
+    high = F.regexp_extract("common_value", r"(-?\d+)$", 1).try_cast("bigint")
+    return v.groupBy("quantity").agg(F.count("*").alias("n_values"), F.min(low).alias("least"), F.max(high).alias("greatest"))
+
+
 _P1_CTE = """
 WITH refs AS (
   SELECT relation_row_id, chunk_id, 'subject' AS endpoint, trim(subject) AS ref, extracted_at FROM llm_relations
@@ -53,7 +74,7 @@ found AS (
   WHERE ref <> '')
 """
 
-QUERIES = {"p1_found": p1_found, "p1_monthly": p1_monthly, "p1_snapshots": p1_snapshots}
+QUERIES = {"p1_found": p1_found, "p1_monthly": p1_monthly, "p1_snapshots": p1_snapshots, "p5_found": p5_found, "p5_ranges": p5_ranges}
 
 SQL = {
     "p1_found": _P1_CTE + "SELECT DISTINCT relation_row_id, endpoint, reason FROM found WHERE reason IS NOT NULL",
