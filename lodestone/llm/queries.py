@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import copies, lookalikes, truncation
+from lodestone.llm import canonical, copies, lookalikes, truncation
 from lodestone.session import table
 
 
@@ -23,6 +23,22 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("first_id").alias("entity_row_id"), F.col("scope").alias("chunk_id"), "n_copies", "n_attribute_sets")
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    groups = canonical.reference_spellings(table(spark, d, "synonym_groups"), "canonical_id", "canonical_name", "aliases")
+    return canonical.mapped_rows(table(spark, d, "llm_entities"), "entity_row_id", "canonical_name", "mentions", groups)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    out = _mapped(spark, d).where("entry is not null")
+    return out.select(F.col("row_id").alias("entity_row_id"), F.col("entry").alias("canonical_id")).distinct()
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "llm_entities").select("entity_row_id", "type", "canonical_name")
+    named = _mapped(spark, d).where("entry is not null").select(F.col("row_id").alias("entity_row_id"))
+    return rows.join(named, "entity_row_id", "left_anti")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     out = lookalikes.inconsistent_slots(table(spark, d, "llm_entities"), "entity_row_id", "canonical_name", "mentions")
     return out.select(F.col("row_id").alias("entity_row_id"), "slot").distinct()
@@ -44,6 +60,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
+    "p4_found": p4_found,
+    "p4_unmatched": p4_unmatched,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p9_found": p9_found,
