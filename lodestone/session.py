@@ -48,3 +48,10 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it again: cuts the lineage and survives the loss of an executor."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartition ahead of a step in Python; a stated number, so that adaptive execution doesn't merge the partitions."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
