@@ -25,8 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import letters_digits
 from lodestone.llm.lookalikes import bigram_scores, consistent, slots
-from lodestone.session import scratch_dir, written
+from lodestone.session import scratch_dir, spread, written
 
 SHARD, SLIPS = 20_000, 2
 # Romanisation of Cyrillic, and word endings (romanised), longest first.
@@ -48,6 +49,8 @@ _MARKS = re.compile(
     rf"\[\s*\d+\s*\]|\(\s*(?:{_W})\b\.?\s*(?:№|no\.?|#)?\s*[\w-]*\s*\)|[,;]?\s*\b(?:{_W})\b\.?\s*(?:№|no\.?|#)?\s*[a-zа-я]?-?\d[\w-]*"
     rf"|№\s*\d[\w-]*|#\s*\d+|{PLAIN_MARKS}", re.I
 )
+#: Java pattern, wider than a code is: only the mentions of such names are looked up.
+CODE_LIKE = r"^[^\p{L}]*\S{2,10}[^\p{L}\p{N}]+\d[\p{L}\p{N}-]*[^\p{L}\p{N}]*$"
 _CODE = re.compile(rf"^\W*(?:{'|'.join(CODE_LABELS.split())})\W*\d[\w-]*\W*$", re.I)
 
 
@@ -246,7 +249,7 @@ def matched_values(values: DataFrame, spellings: DataFrame) -> DataFrame:
     """(value, code, distance, entries) of distinct values: the closest entries over all shards, none where too far."""
     spark = values.sparkSession
     scores = bigram_scores(values)
-    distinct = values.select("value").distinct()
+    distinct = spread(values.select("value").distinct())
     n = spellings.count()
     parts = max(1, -(-n // SHARD))
     sharded = spellings.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(parts)))
@@ -265,7 +268,9 @@ def matched_values(values: DataFrame, spellings: DataFrame) -> DataFrame:
 
 def mapped_rows(df: DataFrame, row_id: str, name: str, others: str, spellings: DataFrame) -> DataFrame:
     """(row_id, entry, distance) for each row with a name: entry is null where nothing on the list is named."""
-    values = slots(df, row_id, name, others)
+    short = F.coalesce(F.length(letters_digits(name)) <= 9, F.lit(False)) | F.coalesce(F.col(name).rlike(CODE_LIKE), F.lit(False))
+    others_of_codes = slots(df.where(short), row_id, name, others).where("slot > 0")
+    values = slots(df, row_id, name, others).where("slot = 0").unionByName(others_of_codes)
     hits = matched_values(values, spellings)
     pairs = values.join(hits, "value")
     one = F.when(F.size("entries") == 1, F.col("entries")[0])
