@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import canonical, copies, lookalikes, truncation
+from lodestone.llm import canonical, copies, lookalikes, mixing, packing, tokens, truncation
 from lodestone.session import table
 
 
@@ -49,6 +49,36 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("row_id").alias("entity_row_id"), "slot", "value", "consistent")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.sized(table(spark, d, "documents"), "doc_id", "text")
+    limits = [r.capacity_tokens for r in table(spark, d, "pack_capacities").select("capacity_tokens").distinct().limit(1000).collect()]
+    return packing.pack(sizes, limits).join(sizes.select("uid", "doc_id"), "uid")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "pack_capacities").select("capacity_id", F.col("capacity_tokens").alias("capacity"))
+    return _packed(spark, d).join(names, "capacity").select("capacity_id", "container", "doc_id", "piece", F.col("size").alias("tokens"))
+
+
+def p7_filling(spark: SparkSession, d: str) -> DataFrame:
+    return packing.filling(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    columns = ["source", mixing.quality(F.col("text")).alias("weight"), F.sha2("text", 256).alias("digest")]
+    sizes = tokens.sized(table(spark, d, "documents"), "doc_id", "text", *columns)
+    targets = table(spark, d, "mix_targets")
+    return mixing.selection(sizes, targets), targets, sizes.agg(F.sum("tokens").alias("total"))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.verdicts(table(spark, d, "documents"), "doc_id", "text").where("truncated").select("doc_id").distinct()
 
@@ -64,6 +94,10 @@ QUERIES = {
     "p4_unmatched": p4_unmatched,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
+    "p7_containers": p7_containers,
+    "p7_filling": p7_filling,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_rates": p9_rates,
 }
