@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import canonical, copies, lookalikes, mixing, packing, tokens, truncation
+from lodestone.llm import canonical, copies, lookalikes, mixing, packing, scans, tokens, truncation
 from lodestone.session import table
 
 
@@ -23,6 +23,16 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("first_id").alias("entity_row_id"), F.col("scope").alias("chunk_id"), "n_copies", "n_attribute_sets")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    blocks, chunks = scans.both_tables(table(spark, d, "parsed_blocks"), table(spark, d, "chunks"))
+    return scans.noise(blocks.unionByName(chunks), scans.Learned(blocks))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    blocks, chunks = scans.both_tables(table(spark, d, "parsed_blocks"), table(spark, d, "chunks"))
+    return scans.paragraphs(blocks.unionByName(chunks).distinct(), scans.Learned(blocks))
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     groups = canonical.reference_spellings(table(spark, d, "synonym_groups"), "canonical_id", "canonical_name", "aliases")
     return canonical.mapped_rows(table(spark, d, "llm_entities"), "entity_row_id", "canonical_name", "mentions", groups)
@@ -90,6 +100,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
+    "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
     "p6_found": p6_found,
