@@ -115,8 +115,9 @@ def snippet(text: Column | str, size: int = 700) -> Column:
 
 def title(source: Column | str, headings: Column | str) -> Column:
     """Source, and the heading path where there is one."""
+    own = F.col(source) if isinstance(source, str) else source
     path = F.array_join(headings, " > ")
-    return F.when(F.coalesce(path, F.lit("")) != "", F.concat_ws(" | ", source, path)).otherwise(source)
+    return F.when(F.coalesce(path, F.lit("")) != "", F.concat_ws(" | ", own, path)).otherwise(own)
 
 
 def truncate_middle(text: Column, size: int) -> Column:

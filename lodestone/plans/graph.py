@@ -106,7 +106,7 @@ def coverage_report(spark, d):
     e = _edges(spark, d)
     ends = e.select("source_document", F.col("s").alias("node")).unionByName(e.select("source_document", F.col("t").alias("node")))
     n = ends.groupBy("source_document").agg(F.count_distinct("node").alias("n_nodes"))
-    m = e.groupBy("source_document").agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count_distinct("predicate").alias("n_predicates"))
+    m = e.groupBy("source_document").agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_distinct("predicate").alias("n_predicates"))
     density = F.round(F.least(F.lit(1.0), F.log1p(F.col("n_edges") / F.col("n_nodes")) / F.log1p(F.lit(4.0))), 4)
     return m.join(n, "source_document").withColumn("density_score", density)
 
@@ -186,7 +186,7 @@ x AS (SELECT s AS node FROM ge WHERE s <> t UNION ALL SELECT t FROM ge WHERE s <
 SELECT n.node, coalesce(degree, 0) AS degree FROM n LEFT JOIN g USING (node)""",
     "coverage_report": f"""WITH {_G}, e AS (SELECT * FROM ge WHERE s <> t), x AS (SELECT source_document, s AS node FROM e UNION SELECT source_document, t FROM e),
 n AS (SELECT source_document, count(*) AS n_nodes FROM x GROUP BY 1)
-SELECT e.source_document, count(*) AS n_edges, round(avg(confidence), 4) AS mean_confidence, count(DISTINCT predicate) AS n_predicates, any_value(n_nodes) AS n_nodes,
+SELECT e.source_document, count(*) AS n_edges, round(avg(confidence), 6) AS mean_confidence, count(DISTINCT predicate) AS n_predicates, any_value(n_nodes) AS n_nodes,
   round(least(1.0, ln(1 + count(*) / any_value(n_nodes)) / ln(5.0)), 4) AS density_score FROM e JOIN n USING (source_document) GROUP BY 1""",
     "hop_stats": f"""WITH {_L}, {_reach(3)} SELECT hop, count(DISTINCT node) AS n_nodes, count(DISTINCT edge_id) AS n_edges, count(DISTINCT source_document) AS n_documents
 FROM r3 JOIN le ON le.s = r3.node GROUP BY 1""",
