@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,27 +16,18 @@ ANSWER = (
 KEYWORDS = {"температур": "Parameter", "концентраци": "Parameter", "флотаци": "Process", "выщелачивани": "Process", "электролит": "Material", "реактор": "Equipment"}
 
 
+_STEP = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
 def first_object(text: str | None) -> str | None:
     """The first balanced JSON object of a text; braces in strings and escaped quotes don't count."""
-    if not text:
-        return None
-    start = text.find("{")
+    start = text.find("{") if text else -1
     while start >= 0:
-        depth, quoted, skip = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return text[start : i + 1]
+        depth = 0
+        for m in _STEP.finditer(text, start):
+            depth += {"{": 1, "}": -1}.get(m[0], 0)
+            if not depth:
+                return text[start : m.end()]
         start = text.find("{", start + 1)
     return None
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import chunking, extraction, glossary, measurements
 from lodestone.plans import facts
 from lodestone.plans.sql import canon
-from lodestone.session import table
+from lodestone.session import spread, table
 from lodestone.sources import documents as S
 
 # Unit aliases.
@@ -26,7 +26,7 @@ def _blocks(spark, d):
 
 
 def _latest_chunks(spark, d):
-    return table(spark, d, "chunks").groupBy("chunk_id").agg(F.max_by("text", "ingested_at").alias("text")).where("text is not null")
+    return spread(table(spark, d, "chunks").groupBy("chunk_id").agg(F.max_by("text", "ingested_at").alias("text")).where("text is not null"))
 
 
 def block_markdown(spark, d):

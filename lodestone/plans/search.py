@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from lodestone.operators import search as S
 from lodestone.plans.facts import edges
 from lodestone.plans.sql import EDGES
-from lodestone.session import table
+from lodestone.session import parallel, scratch_dir, table, written
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "title", "source", "lang", "doc_type")
+    return parallel(table(spark, d, "documents").select("doc_id", "text", "title", "source", "lang", "doc_type"))
+
+
+def _postings(spark, d, binary=False):
+    """Postings of all documents as a written table: every step of a ranking reads it again."""
+    return written(S.postings(_docs(spark, d), "doc_id", S.tokenize("text"), binary), scratch_dir(spark, "postings"))
 
 
 def _questions(spark, d):
@@ -25,15 +30,15 @@ def tokenize_counts(spark, d):
 
 
 def bm25_topk(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), S.postings(_docs(spark, d), "doc_id", S.tokenize("text"))), 10)
+    return S.top_k(S.bm25(_questions(spark, d), _postings(spark, d)), 10)
 
 
 def bm25_okapi_topk(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), S.postings(_docs(spark, d), "doc_id", S.tokenize("text")), idf="okapi"), 10)
+    return S.top_k(S.bm25(_questions(spark, d), _postings(spark, d), idf="okapi"), 10)
 
 
 def binary_tf_bm25(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), S.postings(_docs(spark, d), "doc_id", S.tokenize("text"), binary=True), idf="okapi"), 10)
+    return S.top_k(S.bm25(_questions(spark, d), _postings(spark, d, binary=True), idf="okapi"), 10)
 
 
 def dense_topk(spark, d):
@@ -42,7 +47,7 @@ def dense_topk(spark, d):
 
 
 def rrf_hybrid(spark, d):
-    lexical = S.top_k(S.bm25(_questions(spark, d), S.postings(_docs(spark, d), "doc_id", S.tokenize("text"))), 50)
+    lexical = S.top_k(S.bm25(_questions(spark, d), _postings(spark, d)), 50)
     v = table(spark, d, "embeddings")
     dense = S.dense_top_k(v, "vec_id", "embedding", v.where("vec_id % 100 = 0"), 50)
     return S.top_k(S.rrf([lexical, dense]), 10)
@@ -53,9 +58,9 @@ def edge_documents(spark, d):
 
 
 def _edge_scores(spark, d):
-    e = S.edge_documents(edges(spark, d))
+    e = written(S.edge_documents(edges(spark, d)), scratch_dir(spark, "edges"))
     q = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(S.tokenize("s_name")).alias("term"))
-    return e, S.bm25(q, S.postings(e, "doc_id", S.tokenize("text")))
+    return e, S.bm25(q, written(S.postings(e, "doc_id", S.tokenize("text")), scratch_dir(spark, "postings")))
 
 
 def edge_search(spark, d):

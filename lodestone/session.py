@@ -55,3 +55,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *columns)
+
+
+def parallel(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than half the cores (a few small files) is dealt to all cores; larger ones stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
