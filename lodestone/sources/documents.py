@@ -18,10 +18,16 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of Markdown files; bytes that aren't UTF-8 are read as cp1251."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "windows-1251"))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(_cp1251(F.col("content")))
     return raw.select("path", text.alias("text"))
 
 
+def _cp1251(content: Column) -> Column:
+    """Bytes read as cp1251: as Latin-1 first, then the upper half of the table exchanged."""
+    upper = range(0x80, 0x100)
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, upper)), "".join(bytes([b]).decode("cp1251", "replace") for b in upper))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Lines of JSON under a schema; a bad line stays in ``_corrupt_record``."""
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
