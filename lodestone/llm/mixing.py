@@ -45,8 +45,10 @@ def selection(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
 
     ``sizes`` has doc_id, source, tokens, weight and digest (equal for identical texts).
     """
+    targets = targets.select("source", "target_share", "max_repeats")
     total = sizes.agg(F.sum("tokens").alias("total"))
-    own = sizes.where("tokens > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "source", "tokens", "weight")).alias("x")).select("x.*")
+    first = F.min(F.struct("doc_id", "source", "tokens", "weight")).alias("x")
+    own = sizes.where("tokens > 0").groupBy("digest").agg(first).select("digest", "x.*")
     own = own.withColumn("key", sample_key(F.col("doc_id"), F.col("weight"), seed))
     own = own.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)))
     available = own.groupBy("source").agg(F.sum("tokens").alias("available"))
@@ -63,14 +65,14 @@ def selection(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
         extra = taken if extra is None else extra.unionByName(taken)
         used = taken.groupBy("source").agg(F.sum("tokens").alias("used"))
         left = left.join(used, "source", "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"))
-        open_rows = open_rows.join(taken.select("doc_id"), "doc_id", "left_anti")
-    counted = rows.join(extra.select("doc_id", F.lit(1).alias("extra")), "doc_id", "left").na.fill(0, ["extra"])
+        open_rows = open_rows.join(taken.select("digest"), "digest", "left_anti")
+    counted = rows.join(extra.select("digest", F.lit(1).alias("extra")), "digest", "left").na.fill(0, ["extra"])
     times = (F.col("epochs") + F.col("extra")).cast("int")
     return counted.select("doc_id", "source", "tokens", times.alias("times")).where("times > 0")
 
 
 def _prefix(rows: DataFrame, rests: DataFrame) -> DataFrame:
-    """(doc_id, source, tokens) of the texts that fit the rest of their source, in key order up to the first that doesn't."""
+    """(digest, source, tokens) of the texts that fit the rest of their source, in key order up to the first that doesn't."""
     fitting = rows.join(rests.where("rest > 0"), "source").where("tokens <= rest")
     by_bucket = fitting.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
@@ -80,9 +82,9 @@ def _prefix(rows: DataFrame, rests: DataFrame) -> DataFrame:
     )
     ends = ends.select("source", F.coalesce("last", F.lit(BUCKETS)).alias("last"), F.coalesce("before", F.lit(0)).alias("before"))
     near = fitting.join(ends, "source").where("bucket <= last")
-    edge = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
     border = near.where("bucket = last").withColumn("upto", F.col("before") + F.sum("tokens").over(edge)).where("upto <= rest")
-    return near.where("bucket < last").select("doc_id", "source", "tokens").unionByName(border.select("doc_id", "source", "tokens"))
+    return near.where("bucket < last").select("digest", "source", "tokens").unionByName(border.select("digest", "source", "tokens"))
 
 
 def shares(chosen: DataFrame, targets: DataFrame, total_tokens: DataFrame) -> DataFrame:
@@ -91,6 +93,7 @@ def shares(chosen: DataFrame, targets: DataFrame, total_tokens: DataFrame) -> Da
         F.sum(F.col("tokens") * F.col("times")).alias("mix_tokens"), F.count("*").alias("n_texts"), F.max("times").alias("most_repeats")
     )
     all_used = used.agg(F.sum("mix_tokens").alias("all_mix"))
+    targets = targets.select("source", "target_share", "max_repeats")
     out = targets.join(used, "source", "left").na.fill(0, ["mix_tokens", "n_texts", "most_repeats"])
     out = out.crossJoin(F.broadcast(all_used)).crossJoin(F.broadcast(total_tokens))
     return out.select(

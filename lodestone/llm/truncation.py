@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import parallel
+
 # Closers with their openers, marks left by a cut, abbreviations that never end a text.
 PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 MARKS = r"(?:\.\.\.|…|\[(?:\.\.\.|…)\]|�|>>)\s*$"
@@ -99,6 +101,7 @@ def continuations(docs: DataFrame, text: str) -> DataFrame:
 
 def verdicts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, truncated) for each text."""
+    docs = parallel(docs)
     ends = endings(docs, doc_id, text)
     pairs = continuations(docs, text)
     open_ends = ends.where(F.col("kind").isin("listlike", "unknown"))
