@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,20 @@ def parallel(df: DataFrame) -> DataFrame:
     """A scan that has fewer partitions than half the cores (a few small files) is dealt to all cores; larger ones stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spark-lodestone-")) / "lodestone_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
