@@ -282,5 +282,6 @@ def mapped_rows(df: DataFrame, row_id: str, name: str, others: str, spellings: D
         F.count_if(mention & ~F.col("code")).alias("n_mentions"),
     )
     by_mention = F.when(F.size("mentioned") == 1, F.col("mentioned")[0])
-    entry = F.when(~F.col("code"), F.col("named")).when(F.col("n_mentions") > 0, by_mention).otherwise(F.col("named"))
+    by_code = F.when(F.col("n_mentions") > 0, by_mention).otherwise(F.col("named"))
+    entry = F.when(~F.col("code"), F.col("named")).when(F.col("code"), by_code)
     return summary.select("row_id", entry.alias("entry"), "distance")

@@ -53,7 +53,7 @@ def _words(text: Column) -> Column:
 def endings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Structural verdict for each text: kind is 'cut', 'complete', 'listlike' or 'unknown', with its last two words."""
     t = F.regexp_replace(F.col(text), r"(?U)\s+$", "")
-    base = docs.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(
+    base = docs.where(F.col(text).rlike(r"(?U)\S")).select(
         F.col(doc_id).alias("doc_id"), t.alias("t"), open_brackets(F.substring_index(t, "\n", -1)).alias("open_last"),
         open_brackets(t).alias("open_all"),
     )
