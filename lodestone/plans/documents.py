@@ -6,14 +6,11 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, extraction, glossary, measurements
 from lodestone.plans import facts
+from lodestone.plans.facts import UNIT_ALIASES
 from lodestone.plans.sql import canon
 from lodestone.session import spread, table
 from lodestone.sources import documents as S
 
-# Unit aliases.
-UNIT_ALIASES = {
-    "г/дм3": "г/л", "г/дм³": "г/л", "мг/дм3": "мг/л", "мг/дм³": "мг/л", "℃": "°C", "C": "°C", "А/м²": "А/м2", "м³": "м3", "м³/ч": "м3/ч", "об/м": "об/мин",
-}
 # Operator words and signs.
 OPERATORS = {
     "≤": "<=", "≥": ">=", "=>": ">=", "≈": "~", "~": "~", "не более": "<=", "не выше": "<=", "не превышает": "<=", "не превышать": "<=", "до": "<=",

@@ -12,6 +12,11 @@ from lodestone.operators import quality
 from lodestone.plans.sql import EDGES, ENT, SOURCE, canon, node
 from lodestone.session import table
 
+# Unit aliases.
+UNIT_ALIASES = {
+    "г/дм3": "г/л", "г/дм³": "г/л", "мг/дм3": "мг/л", "мг/дм³": "мг/л", "℃": "°C", "C": "°C", "А/м²": "А/м2", "м³": "м3", "м³/ч": "м3/ч", "об/м": "об/мин",
+}
+
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
     return E.clean_entities(table(spark, d, "llm_entities"))
@@ -98,10 +103,30 @@ def contradictions(spark, d):
     return quality.contradictions(edges(spark, d))
 
 
+def normalized_entities(spark, d):
+    """Names resolved through the glossary within their record, and units of properties in one spelling."""
+    r = alias_resolve(spark, d)
+    unit = F.trim(F.try_element_at("attributes", F.lit("unit")))
+    alias = F.create_map(*[F.lit(x) for p in UNIT_ALIASES.items() for x in p])
+    e = entities(spark, d).select("entity_row_id", "type", F.when(F.col("type") == "Property", F.coalesce(F.try_element_at(alias, unit), unit)).otherwise(unit).alias("unit"))
+    return e.join(r, "entity_row_id").groupBy("type", F.coalesce("unit", F.lit("")).alias("unit")).agg(F.count("*").alias("n"), F.count_distinct("resolved").alias("n_names"))
+
+
+def safe_relation_types(spark, d):
+    r = table(spark, d, "llm_relations").where("trim(predicate) <> ''")
+    return r.groupBy(ontology.safe_relation_type("predicate").alias("relation_type")).agg(F.count("*").alias("n"))
+
+
+def type_name_counts(spark, d):
+    """The 200 most frequent names with their types."""
+    e = entities(spark, d).groupBy("type", "name").agg(F.count("*").alias("n"))
+    return e.orderBy(F.col("n").desc(), "type", "name").limit(200)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        canonicalize_names, dedup_entities, ensemble_entities, ensemble_decisions, ensemble_relations, source_names, confidence_calibration,
+        normalized_entities, safe_relation_types, type_name_counts, canonicalize_names, dedup_entities, ensemble_entities, ensemble_decisions, ensemble_relations, source_names, confidence_calibration,
         attribute_merge, graph_upsert_nodes, graph_upsert_edges, graph_satellites, graph_stats, unknown_types, alias_resolve, quality_issues,
         knowledge_gaps, contradictions,
     )
@@ -127,7 +152,18 @@ _NODES = """nodes AS (
   SELECT type AS label, name, min(extracted_at) AS created_at, arg_max_null(confidence, (extracted_at, entity_row_id)) AS confidence,
          count(DISTINCT source_document) AS n_documents, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_rows FROM ent GROUP BY 1, 2)"""
 
+_UNITS = ", ".join(f"('{k}', '{v}')" for k, v in UNIT_ALIASES.items())
+_RESOLVED = f"""a AS (SELECT canonical_name, unnest(aliases) AS alias FROM synonym_groups),
+k AS (SELECT {canon('alias')} AS canon, max(canonical_name) AS resolved FROM a WHERE trim(alias) <> '' GROUP BY 1),
+res AS (SELECT entity_row_id, coalesce(resolved, name) AS resolved FROM ent LEFT JOIN k ON {canon('name')} = k.canon)"""
+
 SQL = {
+    "normalized_entities": f"""WITH {ENT}, {_RESOLVED}, u(x, y) AS (VALUES {_UNITS}), e AS (SELECT entity_row_id, type, trim(attributes['unit']) AS raw FROM ent)
+SELECT type, coalesce(CASE WHEN type = 'Property' THEN coalesce(y, raw) ELSE raw END, '') AS unit, count(*) AS n, count(DISTINCT resolved) AS n_names
+FROM e JOIN res USING (entity_row_id) LEFT JOIN u ON u.x = raw GROUP BY 1, 2""",
+    "safe_relation_types": r"""WITH x AS (SELECT regexp_replace(regexp_replace(upper(trim(predicate)), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM llm_relations WHERE trim(predicate) <> '')
+SELECT CASE WHEN t = '' THEN 'RELATED_TO' WHEN regexp_matches(t, '^[0-9]') THEN 'R_' || t ELSE t END AS relation_type, count(*) AS n FROM x GROUP BY 1""",
+    "type_name_counts": f"WITH {ENT} SELECT type, name, count(*) AS n FROM ent GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 200",
     "canonicalize_names": f"WITH {ENT} SELECT {canon('name')} AS canon, count(*) AS n FROM ent GROUP BY 1",
     "dedup_entities": f"""WITH {ENT}, r AS (SELECT *, {canon('name')} AS canon FROM ent),
 mm AS (SELECT chunk_id, type, canon, count(DISTINCT m) AS n_mentions FROM (SELECT chunk_id, type, canon, unnest(mentions) AS m FROM r) WHERE trim(m) <> '' GROUP BY 1, 2, 3)

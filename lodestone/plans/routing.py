@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import answer
+from lodestone.operators import queryplan as Q
 from lodestone.operators import routing as R
 from lodestone.operators.entities import node_key
 from lodestone.plans import facts, graph
@@ -111,9 +112,19 @@ def answers(spark, d):
     return answer.rendered(answer.dispatched(asked, seeds, facts.edges(spark, d), docs))
 
 
+def query_language(spark, d):
+    """Cleaned and matching forms of each question and its scripts."""
+    q = questions(spark, d)
+    return q.select("relation_row_id", Q.cleaned("question").alias("cleaned"), Q.match_text("question").alias("matching"), *[v.alias(k) for k, v in Q.language("question").items()])
+
+
+def query_plan(spark, d):
+    return Q.planned(questions(spark, d), "relation_row_id", "question", table(spark, d, "synonym_groups"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (answers, query_markers, query_numeric_constraint, query_entities, route_decision, structured_filters, rag_filters, extraction_route)
+    for f in (answers, query_language, query_plan, query_markers, query_numeric_constraint, query_entities, route_decision, structured_filters, rag_filters, extraction_route)
 }
 
 _QS = f"""{EDGES}, qs AS (SELECT *, relation_row_id::VARCHAR AS n, relation_row_id % 8 AS k FROM edges),
@@ -159,7 +170,12 @@ dm AS (SELECT relation_row_id, word, arg_min(label, place) AS c FROM w JOIN stem
 sd AS (SELECT relation_row_id, lower(c) AS canonical, max(conf) AS confidence FROM (SELECT relation_row_id, c, 0.6::DOUBLE AS conf FROM dm
   UNION ALL SELECT relation_row_id, word, 0.55::DOUBLE FROM w WHERE regexp_matches(word, '^[A-ZА-ЯЁ]')) GROUP BY 1, 2)"""
 
+_SPACE = r"[ \t\n\r\f\x0B]+"
+_CLEAN = rf"trim(regexp_replace(regexp_replace(trim(regexp_replace(question, '{_SPACE}', ' ', 'g')), ' +([,.;:?!])', '\1', 'g'), '^[.,;: ]+|[.,;: ]+$', '', 'g'))"
+
 SQL = {
+    "query_language": f"""WITH {_QS} SELECT relation_row_id, {_CLEAN} AS cleaned, trim(regexp_replace(translate(lower(question), '{Q.SMALL}', '{Q.PLAIN}'), '{_SPACE}', ' ', 'g')) AS matching,
+  regexp_matches(question, '[А-Яа-яЁё]') AS has_cyrillic, regexp_matches(question, '[A-Za-z]') AS has_latin, regexp_matches(question, '[A-Za-z]') AND NOT regexp_matches(question, '[А-Яа-яЁё]') AS is_english FROM q""",
     "query_markers": f"WITH {_ANALYZED} SELECT relation_row_id, {', '.join(MARKS)} FROM a",
     "query_numeric_constraint": f"WITH {_ANALYZED} SELECT relation_row_id, numeric_operator, low, high, numeric_unit FROM a WHERE has_numeric",
     "query_entities": f"WITH {_QS}, {_SEEDS} SELECT * FROM sd",
