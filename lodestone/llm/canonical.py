@@ -51,7 +51,7 @@ _MARKS = re.compile(
 )
 #: Java pattern, wider than a code is: only the mentions of such names are looked up.
 CODE_LIKE = r"^[^\p{L}]*\S{2,10}[^\p{L}\p{N}]+\d[\p{L}\p{N}-]*[^\p{L}\p{N}]*$"
-_CODE = re.compile(rf"^\W*(?:{'|'.join(CODE_LABELS.split())})\W*\d[\w-]*\W*$", re.I)
+_CODE = re.compile(rf"^[\W_]*(?:{'|'.join(CODE_LABELS.split())})[\W_]*\d[\w-]*\W*$", re.I)
 
 
 def roman(text: str) -> str:
@@ -74,9 +74,12 @@ def words(text: str) -> list[tuple[str, bool]]:
     return [(roman(w), dot == "." and len(w) > 1) for w, _, dot in found]
 
 
-def key(found: list[tuple[str, bool]]) -> str:
-    """Stems with each group of letters that romanises one Cyrillic letter as one character, so that a slip counts once."""
-    t = " ".join(stem(w) for w, _ in found)
+def key(found: list[tuple[str, bool]], stems: bool = True) -> str:
+    """Stems with each group of letters that romanises one Cyrillic letter as one character, so that a slip counts once.
+
+    With ``stems`` False the words keep their endings.
+    """
+    t = " ".join(stem(w) if stems else w for w, _ in found)
     for many, one in _GROUPS:
         t = t.replace(many, one)
     return t
@@ -172,16 +175,22 @@ class Matcher:
 
     def __init__(self, spellings: list[tuple[str, str]]) -> None:
         self.ids: dict[str, set[str]] = {}
+        self.full: dict[str, set[str]] = {}  # keys with their spellings, endings kept
         self.codes: dict[str, set[str]] = {}
-        self.words: set[str] = set()
+        self.words: dict[str, list[str]] = {}  # words, and compounds as one word, with their parts
         for entry, spelling in spellings:
             if is_code(spelling):
                 self.codes.setdefault(spelling.strip().lower(), set()).add(entry)
             else:
                 found = words(spelling)
                 self.ids.setdefault(key(found), set()).add(entry)
-                self.words.update(w for w, _ in found)
+                self.full.setdefault(key(found), set()).add(key(found, stems=False))
+                self.words.update((w, [w]) for w, _ in found)
+                for compound in re.findall(r"\w+(?:-\w+)+", spelling.lower().replace("ё", "е")):
+                    parts = [w for w, _ in words(compound)]
+                    self.words["".join(parts)] = parts
         self.ids.pop("", None)
+        self.longest = max(map(len, self.ids), default=0)
         self.tree = BKTree(list(self.ids))
         self._near = lru_cache(200_000)(self._search)
 
@@ -189,24 +198,33 @@ class Matcher:
         return [(0, e) for e in self.codes.get(text.strip(" .,;:!\"'()[]«»").lower(), ())]
 
     def best(self, text: str) -> list[tuple[int, str]]:
-        """(distance, entry) of the closest entries of a consistent text."""
+        """(distance, entry) of the closest entries of a consistent text.
+
+        Words may stand in any rotation. Keys longer than the longest reference key by more than the slips can't match.
+        A word cut off by a full stop stands for every reference word that it begins.
+        """
         found = words(text)
-        if not 0 < len(found) <= 12:
+        if not found or len(key(found)) > self.longest + SLIPS:
             return []
-        turns = [found[i:] + found[:i] for i in range(len(found))]
-        for turn in turns:
-            if entries := self.ids.get(key(turn)):
-                return [(0, e) for e in entries]
-        if any(cut for _, cut in found):
-            turns = [t for turn in turns[:4] for t in self._expanded(turn)]
-        for turn in turns[:8]:
-            if near := self._near(key(turn)):
-                return near
-        return []
-
-    def _search(self, k: str) -> list[tuple[int, str]]:
+        whole = self._expanded(found) if any(cut for _, cut in found) else []
+        for forms in ([found], whole):
+            keys = dict.fromkeys(key(f[i:] + f[:i]) for f in forms for i in range(len(f)))
+            if hits := {e for k in keys for e in self.ids.get(k, ())}:
+                return [(0, e) for e in hits]
+        near: list[tuple[int, str]] = []
+        for f in whole or [found]:
+            for i in range(len(f)):
+                turn = f[i:] + f[:i]
+                near += self._near(key(turn), key(turn, stems=False))
+                if not whole and near and min(near)[0] == 1:  # nothing can be closer: equal keys were looked up before
+                    return [x for x in near if x[0] == 1]
+        least = min(near, default=(0, ""))[0]
+        return list({x for x in near if x[0] == least})
+
+    def _search(self, k: str, full: str) -> list[tuple[int, str]]:
         slips = SLIPS if len(k) >= 8 else len(k) // 5
-        near = [(damerau(k, own), own) for _, own in self.tree.within(k, 2 * slips)]
+        found = [own for _, own in self.tree.within(k, 2 * slips)]
+        near = [(max(1, min(damerau(k, own), *(damerau(full, f) for f in self.full[own]))), own) for own in found]
         near = [(d, own) for d, own in near if d <= slips]
         least = min(near, default=(0, ""))[0]
         return [(least, e) for d, own in near if d == least for e in self.ids[own]]
@@ -214,10 +232,10 @@ class Matcher:
     def _expanded(self, found: list[tuple[str, bool]]) -> list[list[tuple[str, bool]]]:
         out: list[list[tuple[str, bool]]] = [[]]
         for w, cut in found:
-            options = [x for x in self.words if x.startswith(w)] if cut else []
+            options = [p for x, p in self.words.items() if x.startswith(w)] if cut else []
             if cut and not options and len(w) > 4:
-                options = [x for x in self.words if levenshtein(x[: len(w)], w) <= 1]
-            out = [[*head, (x, False)] for head in out for x in (options or [w])][:64]
+                options = [p for x, p in self.words.items() if levenshtein(x[: len(w)], w) <= 1]
+            out = [[*head, *((x, False) for x in p)] for head in out for p in (options or [[w]])]
         return out
 
 
