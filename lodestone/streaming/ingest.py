@@ -1,7 +1,4 @@
-"""Structured Streaming: extracted rows arrive as files and are merged into keyed tables; events are counted in windows.
-
-The reference state of ``operators.orphans`` is advanced from ``foreachBatch`` in the same way: each micro-batch is one period.
-"""
+"""Structured Streaming: extracted rows arrive as files and are merged into keyed tables; events are counted in windows."""
 
 from __future__ import annotations
 
