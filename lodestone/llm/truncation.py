@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import parallel
+from lodestone.session import parallel, scratch_dir, written
 
 # Closers with their openers, marks left by a cut, abbreviations that never end a text.
 PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
@@ -53,20 +53,21 @@ def _words(text: Column) -> Column:
 def endings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Structural verdict for each text: kind is 'cut', 'complete', 'listlike' or 'unknown', with its last two words."""
     t = F.regexp_replace(F.col(text), r"(?U)\s+$", "")
-    base = docs.where(F.col(text).rlike(r"(?U)\S")).select(
-        F.col(doc_id).alias("doc_id"), t.alias("t"), open_brackets(F.substring_index(t, "\n", -1)).alias("open_last"),
-        open_brackets(t).alias("open_all"),
+    rows = docs.where(F.col(text).rlike(r"(?U)\S")).select(F.col(doc_id).alias("doc_id"), t.alias("t"))
+    base = rows.select(
+        "doc_id", F.trim(F.substring_index("t", "\n", -1)).alias("line"), open_brackets(F.col("t")).alias("open_all"),
+        open_brackets(F.substring_index("t", "\n", -1)).alias("open_last"),
     )
-    line = F.trim(F.substring_index("t", "\n", -1))
+    line = F.col("line")  # every proof lies in the last line
     segment = F.regexp_replace(line, r"^.*[.!?][\"»”)\]]*(?:\s*\[\d+\])?\s+(?=\S)", "")
     proof = (
-        F.col("t").rlike(MARKS) | F.col("t").rlike(ABBREVIATIONS) | F.col("t").rlike(BROKEN_ESCAPE)
-        | F.col("t").rlike(r"[,;:(«\[{–—-]$") | ((F.length("open_last") > 0) & (F.length("open_all") > 0))
+        line.rlike(MARKS) | line.rlike(ABBREVIATIONS) | line.rlike(BROKEN_ESCAPE)
+        | line.rlike(r"[,;:(«\[{–—-]$") | ((F.length("open_last") > 0) & (F.length("open_all") > 0))
         | ((F.left(segment, F.lit(1)) == "|") & (F.right(segment, F.lit(1)) != "|"))
     )
     kind = (
         F.when(proof, "cut")
-        .when(F.col("t").rlike(TERMINATED), "complete")
+        .when(line.rlike(TERMINATED), "complete")
         .when(segment.rlike(r"^\|.*\|$") | segment.rlike(r"^\(.*\)$"), "complete")
         .when(segment.rlike(r"^#+\s") | line.rlike(CAPTION) | segment.rlike(LABEL) | segment.rlike(LIST_ITEM), "listlike")
         .otherwise("unknown")
@@ -102,12 +103,14 @@ def continuations(docs: DataFrame, text: str) -> DataFrame:
 def verdicts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, truncated) for each text."""
     docs = parallel(docs)
-    ends = endings(docs, doc_id, text)
-    pairs = continuations(docs, text)
+    folder = scratch_dir(docs.sparkSession, "truncation")
+    ends = written(endings(docs, doc_id, text), f"{folder}/endings")
+    pairs = written(continuations(docs, text), f"{folder}/pairs")
     open_ends = ends.where(F.col("kind").isin("listlike", "unknown"))
     asked = open_ends.groupBy("w1", "w2").agg(F.count("*").alias("n_asked"))
     prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("x")), lambda n: F.substring(F.col("x"), F.lit(1), n)))
-    by_prefix = pairs.withColumnRenamed("w2", "x").select("w1", prefix.alias("w2"), "x", "n_on", "n_line", "n_text")
+    wanted = pairs.join(asked.select("w1").distinct(), "w1", "left_semi")  # only these are taken apart into prefixes
+    by_prefix = wanted.withColumnRenamed("w2", "x").select("w1", prefix.alias("w2"), "x", "n_on", "n_line", "n_text")
     exact = F.col("x") == F.col("w2")
     seen = by_prefix.join(asked.select("w1", "w2"), ["w1", "w2"], "left_semi").groupBy("w1", "w2").agg(
         F.sum("n_on").alias("n_on"), F.sum(F.when(exact, F.col("n_line") + F.col("n_text")).otherwise(0)).alias("n_end"),
