@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import scratch_dir, spread, written
+from lodestone.session import parallel, scratch_dir, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published splitting pattern of this kind of byte-level vocabulary.
@@ -38,6 +38,6 @@ def token_count(path: str = TOKENIZER):
 
 def sized(docs: DataFrame, doc_id: str, text: str, *columns, path: str = TOKENIZER) -> DataFrame:
     """A written table (uid, doc_id, tokens, further columns); uid is unique even where ids repeat."""
-    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *columns))
+    rows = parallel(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *columns))
     counted = rows.withColumn("tokens", token_count(path)(F.col("__text"))).drop("__text")
     return written(counted.withColumn("uid", F.monotonically_increasing_id()), scratch_dir(docs.sparkSession, "tokens"))
