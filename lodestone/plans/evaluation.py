@@ -34,16 +34,31 @@ def _spans(spark, d):
 
 
 def overlap_all(spark, d):
+    """A sample of gold spans (ids that end in 0), as in the SQL twin; overlap_all_full takes every chunk."""
     return V.overlaps(*_spans(spark, d))
 
 
 def overlap_match(spark, d):
+    """The same sample of gold spans; overlap_match_full takes every chunk."""
     gold, spans = _spans(spark, d)
     pairs = V.overlaps(gold, spans).where("gold_id <> span_id")
     other = V.overlaps(gold, spans, least=0.05).where("gold_id <> span_id")
     return V.best_overlap(other.unionByName(pairs).distinct())
 
 
+def _every_span(spark, d):
+    _, spans = _spans(spark, d)
+    return spans.withColumnRenamed("span_id", "gold_id"), spans
+
+
+def overlap_all_full(spark, d):
+    return V.overlaps(*_every_span(spark, d))
+
+
+def overlap_match_full(spark, d):
+    return V.best_overlap(V.overlaps(*_every_span(spark, d), least=0.05).where("gold_id <> span_id").distinct())
+
+
 def fuzzy_doc_match(spark, d):
     """Chunk titles' files against entity files by cleaned name: the first file in order whose name is equal or begins alike."""
     a = table(spark, d, "chunks").select(F.col("provenance.source_document").alias("file")).distinct()
@@ -65,7 +80,7 @@ def golden_validate(spark, d):
     return V.golden_issues(s.withColumnRenamed("chunk_id", "sample_id"))
 
 
-QUERIES = {f.__name__: f for f in (prf_per_class, prf_micro_macro_weighted, overlap_all, overlap_match, fuzzy_doc_match, golden_validate)}
+QUERIES = {f.__name__: f for f in (prf_per_class, prf_micro_macro_weighted, overlap_all, overlap_match, overlap_all_full, overlap_match_full, fuzzy_doc_match, golden_validate)}
 
 _C = f"""{ENT}, k AS (SELECT DISTINCT chunk_id, type, {canon('name')} AS canon, extractor = 'chat_model_a' AS g FROM ent),
 u AS (SELECT chunk_id, type, canon, bool_or(g) AS g, bool_or(NOT g) AS p FROM k GROUP BY 1, 2, 3),
