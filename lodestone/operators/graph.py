@@ -1,7 +1,8 @@
 """Traversal and filters on the fact graph.
 
 Reachability expands a frontier hop by hop and keeps each (seed, node) once with its least number of hops, so hubs don't
-multiply. Trails (edges not repeated) are enumerated only where they are asked for, with the number of hops fixed.
+multiply. Trails (edges not repeated) are enumerated only where they are asked for, with the number of hops fixed; their
+numbers alone come from walks counted for each (seed, node), which stay few however many trails there are.
 """
 
 from __future__ import annotations
@@ -59,6 +60,40 @@ def related(trail_rows: DataFrame) -> DataFrame:
     return rows.groupBy("seed", "node").agg(F.count("*").alias("n_trails"), F.min(F.size("edges")).alias("hops"))
 
 
+def trail_counts(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(seed, node, hops, n_trails): how many trails of one, two and up to three edges lead from each seed to each node.
+
+    Exact, without enumeration: walks by the number m of parallel edges, less those that repeat an edge. Of two edges
+    these are the ways there and back; of three, those whose first and second (the seed's degree times m), second and third
+    (the node's degree times m) or first and third edge (m times m) are the same, those of one edge only counted once.
+    Needs edges without loops and one row for each edge.
+    """
+    if hops not in (1, 2, 3):
+        raise ValueError("trails are counted for one to three hops")
+    folder = scratch_dir(edges.sparkSession, "trails")
+    m = written(undirected(edges).groupBy("a", "b").agg(F.count("*").alias("m")), f"{folder}/steps")
+    degree = m.groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("degree"))
+
+    def on(walks: DataFrame) -> DataFrame:
+        nxt = walks.join(m, F.col("node") == F.col("a")).groupBy("seed", F.col("b").alias("node"))
+        return nxt.agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+    one = written(on(seeds.select("seed", F.col("seed").alias("node"), F.lit(1).cast("long").alias("n")).distinct()), f"{folder}/1")
+    out = one.withColumn("hops", F.lit(1))
+    own = seeds.select("seed").distinct().join(degree.withColumnsRenamed({"node": "seed", "degree": "own"}), "seed")
+    if hops > 1:
+        two = written(on(one), f"{folder}/2")
+        back = own.select("seed", F.col("seed").alias("node"), "own")
+        less = F.col("n") - F.coalesce("own", F.lit(0))
+        out = out.unionByName(two.join(back, ["seed", "node"], "left").select("seed", "node", less.alias("n"), F.lit(2).alias("hops")))
+    if hops > 2:
+        first = one.withColumnRenamed("n", "m").join(own, "seed").join(degree, "node")
+        again = first.select("seed", "node", (F.col("m") * (F.col("own") + F.col("degree") + F.col("m") - 2)).alias("again"))
+        less = F.col("n") - F.coalesce("again", F.lit(0))
+        out = out.unionByName(on(two).join(again, ["seed", "node"], "left").select("seed", "node", less.alias("n"), F.lit(3).alias("hops")))
+    return out.where("n > 0").withColumnRenamed("n", "n_trails")
+
+
 def seed_terms(tokens: Column) -> Column:
     """Search terms of a question: words of three letters and more, with prefixes of five (long words) or three (four letters)."""
     long = F.filter(tokens, lambda t: F.length(t) >= 3)

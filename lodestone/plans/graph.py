@@ -87,6 +87,25 @@ def top_related(spark, d):
     return r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
 
+def reach_4hop_full(spark, d):
+    """reach_4hop over every edge; the SQL twin keeps reach_4hop to LIMITED ones, as with the next three."""
+    return G.reach(_seeds(spark, d), _edges(spark, d), 4).groupBy("seed", "hop").agg(F.count("*").alias("n_nodes"))
+
+
+def trails_3hop_full(spark, d):
+    t = G.trail_counts(_seeds(spark, d), _edges(spark, d), 3)
+    return t.groupBy("seed", "hops").agg(F.sum("n_trails").alias("n_trails"), F.count("*").alias("n_nodes"))
+
+
+def top_related_full(spark, d):
+    from pyspark.sql import Window
+
+    t = G.trail_counts(_seeds(spark, d), _edges(spark, d), 2).where("node <> seed")
+    r = t.groupBy("seed", "node").agg(F.sum("n_trails").alias("n_trails"), F.min("hops").alias("hops"))
+    w = Window.partitionBy("seed").orderBy(F.col("n_trails").desc(), "node")
+    return r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
 def fuzzy_seeds(spark, d):
     q = table(spark, d, "documents").where("doc_id % 100 = 0 and title is not null")
     terms = q.select(F.col("doc_id").alias("query_id"), F.explode(G.seed_terms(tokenize("title"))).alias("term"))
@@ -119,6 +138,14 @@ def hop_stats(spark, d):
     )
 
 
+def hop_stats_full(spark, d):
+    e = _edges(spark, d)
+    r = G.reach(_seeds(spark, d), e, 3).select("hop", "node").distinct()
+    return r.join(e.select(F.col("s").alias("node"), "edge_id", "source_document"), "node").groupBy("hop").agg(
+        F.count_distinct("node").alias("n_nodes"), F.count_distinct("edge_id").alias("n_edges"), F.count_distinct("source_document").alias("n_documents")
+    )
+
+
 def context_lines(spark, d):
     """The 40 most confident facts, one line each."""
     e = facts.edges(spark, d).where("confidence is not null").orderBy(F.col("confidence").desc(), "relation_row_id").limit(40)
@@ -130,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         entities_by_name, by_geography, by_year_range, by_numeric_value, multi_filter_union, reach_4hop, trails_3hop, top_related, fuzzy_seeds,
-        degree_isolated, coverage_report, hop_stats, context_lines,
+        degree_isolated, coverage_report, hop_stats, context_lines, reach_4hop_full, trails_3hop_full, top_related_full, hop_stats_full,
     )
 }
 

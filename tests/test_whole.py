@@ -1,10 +1,14 @@
 """Queries that do the whole job where the SQL twin of the query of the same name takes a part."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestone.operators import graph
+from lodestone.plans.graph import LIMITED
 from tests import oracle
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test tables here")
@@ -23,3 +27,22 @@ def test_overlaps_of_every_chunk(spark):
             best[f, a] = min(best.get((f, a), (0, "")), (-n, b))
     got = {(r.file, r.gold_id): (-r.shared, r.span_id) for r in entry.queries()["overlap_match_full"](spark, oracle.DATA).collect()}
     assert got == best and any(not a.endswith("0") for _, a in got)
+
+
+@pytest.mark.parametrize("name", ["reach_4hop", "trails_3hop", "top_related", "hop_stats"])
+def test_traversals_of_every_edge(spark, name):
+    sql = entry.oracle_sql()[name]
+    every = sql.replace(f" AND {LIMITED}", "")
+    assert every != sql
+    oracle.same(spark, entry.queries()[f"{name}_full"], every)
+    assert oracle.connection().execute(every).fetchall() != oracle.connection().execute(sql).fetchall()
+
+
+def test_trails_are_counted_as_enumerated(spark):
+    g = random.Random(3)
+    rows = [(i, *g.sample("abcdef", 2)) for i in range(30)] + [(90, "x", "y"), (91, "y", "z")]
+    e = spark.createDataFrame(rows, "edge_id int, s string, t string")
+    seeds = spark.createDataFrame([("a",), ("b",), ("x",), ("none",)], "seed string")
+    for hops in (1, 2, 3):
+        want = graph.trails(seeds, e, hops).groupBy("seed", "node", F.size("edges").alias("hops")).count().collect()
+        assert {tuple(r) for r in graph.trail_counts(seeds, e, hops).select("seed", "node", "hops", "n_trails").collect()} == {tuple(r) for r in want}
