@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    blocks, chunks = scans.both_tables(table(spark, d, "parsed_blocks"), table(spark, d, "chunks"))
+    blocks, chunks = scans.both_tables(table(spark, d, "parsed_blocks"), table(spark, d, "chunks"), placed=True)
     return scans.paragraphs(blocks.unionByName(chunks).distinct(), scans.Learned(blocks))
 
 

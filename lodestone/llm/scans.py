@@ -10,7 +10,10 @@ whose skeleton comes back on many pages of its file is a running title; a number
 file in the same style is a page number. What is learned for a file from its blocks also holds for its chunks.
 
 Divided words: a hyphen at the end of a line or row, unless the part before it is one that hangs before a blank elsewhere
-('тепло- и массообмен') and the joined word stands nowhere undivided.
+('тепло- и массообмен') and the joined word stands nowhere undivided. The repaired text joins words over empty lines and
+over rows too: the row with the first half gets the whole word and what is written on to it, the next row of running text
+of the file begins after it. Where chunks overlap the later chunk holds the whole word anyway and keeps it. Which row comes
+next is found within ranges of RANGE places, so that a large file is no single task. A word over three rows is joined once.
 
 The vocabulary never passes through the driver. The list of misread words is broadcast only up to ``BROADCAST`` entries;
 beyond that the distinct words of each row are joined with it.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import parallel, scratch_dir, spread, written
@@ -37,7 +40,7 @@ GLYPHS = (
     "о 0;т г;н п;в 8;e c;ы ьi;з 3;ч 4;t f;б 6;ж >к;i l;i |;o 0;п л;s 5;l 1;ц и;d cl;ю 10;ш щ;m rn;h b;g 9;z 2;l |;i 1;э 3;w vv"
 )
 SCANNED = ("pdf", "tif", "tiff", "djvu", "jpg", "jpeg", "png")
-RATIO, LEAST, BROADCAST, PAGE_SHARE = 8, 3, 300_000, 0.15
+RATIO, LEAST, BROADCAST, PAGE_SHARE, RANGE = 8, 3, 300_000, 0.15, 1000
 OPPOSITE = -0.2
 _PAIRS = [tuple(p.split()) for p in GLYPHS.lower().split(";")]
 _TOKEN = re.compile(r"[\w>|]+")
@@ -47,6 +50,8 @@ _BREAK = re.compile(rf"([{_HYPHENS}])[ \t]*(?:\r?\n\s*|$)([^\W\d_]*)")
 _JOIN = re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].)[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _INLINE = re.compile(r"-(?= )")
 _LAST = re.compile(r"[^\W\d_]+$")
+_HEAD = re.compile(rf"([\w>|]*[^\W\d_])([{_HYPHENS}])$")
+_TAIL = re.compile(r"([^\W\d_][\w>|]*)(\S*)")
 _WITH_PAGE = re.compile(r"^(?:(\d{1,4})\s*\|\s*(\S.*)|(\S.*?)\s{2,}(\d{1,4}))$")
 STYLES = {
     "plain": re.compile(r"(\d{1,4})"), "brackets": re.compile(r"\[(\d{1,4})\]"), "parens": re.compile(r"\((\d{1,4})\)"),
@@ -195,12 +200,13 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def rows_of(spark_rows: DataFrame, table_name: str, key: str, file: str, text: str, kind, unit) -> DataFrame:
-    """Rows in the operator's columns."""
+def rows_of(spark_rows: DataFrame, table_name: str, key: str, file: str, text: str, kind, unit, place=None, overlap=None) -> DataFrame:
+    """Rows in the operator's columns; with ``place``, their order in the file and the characters they share with the row before."""
+    order = [] if place is None else [place.cast("long").alias("place"), F.coalesce(overlap, F.lit(0)).cast("int").alias("overlap")]
     ext = F.lower(F.regexp_extract(F.col(file), r"\.([A-Za-z]+)$", 1))
     return spark_rows.where(F.col(text).rlike(r"(?U)\S")).select(
         F.lit(table_name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.coalesce(file, F.lit("")).alias("file"),
-        F.col(text).alias("text"), kind.alias("kind"), unit.cast("int").alias("unit"), ext.isin(*SCANNED).alias("scanned"),
+        F.col(text).alias("text"), kind.alias("kind"), unit.cast("int").alias("unit"), ext.isin(*SCANNED).alias("scanned"), *order,
     )
 
 
@@ -327,9 +333,9 @@ def noise(rows: DataFrame, learned: Learned) -> DataFrame:
     return out.distinct()
 
 
-def repaired(text: str, misread: dict[str, str], titles: frozenset[str], styles: frozenset[str], keeps: frozenset[str]) -> str:
-    """One text without furniture, its words joined and corrected, its lines reflowed into paragraphs."""
-    out = []
+def reflowed(text: str, titles: frozenset[str], styles: frozenset[str], keeps: frozenset[str]) -> str:
+    """One text without furniture, its words joined, its lines reflowed into paragraphs."""
+    out: list[str] = []
     for p in re.split(r"\n\s*\n", text):
         lines = [x.strip() for x in p.strip().splitlines()]
         body = []
@@ -343,13 +349,24 @@ def repaired(text: str, misread: dict[str, str], titles: frozenset[str], styles:
             rf"([^\W\d_]+)([{_HYPHENS}])[ \t]*\n\s*(?=[^\W\d_])",
             lambda m: m[1] + ("-" if m[2] == "-" and m[1].lower() in keeps else ""), flat,
         )
-        flat = re.sub(r"\s*\n\s*", " " if not flat.lstrip().startswith("|") else "\n", flat)
-        flat = _TOKEN.sub(lambda m: _cased(m[0], misread[m[0].lower()]) if m[0].lower() in misread else m[0], flat)
-        if flat.strip():
-            out.append(flat.strip())
+        flat = re.sub(r"\s*\n\s*", " " if not flat.lstrip().startswith("|") else "\n", flat).strip()
+        head, tail = _HEAD.search(out[-1]) if out else None, _TAIL.match(flat)
+        if head and tail and goes_on(head[1], tail[1]) and not (head[2] == "-" and head[1].lower() in keeps):
+            out[-1] = out[-1][:-1] + flat
+        elif flat:
+            out.append(flat)
     return "\n\n".join(out)
 
 
+def goes_on(head: str, tail: str) -> bool:
+    """Whether the letters before and after a break may be of one word: small ones after it, or capitals on both sides."""
+    return tail[0].islower() or (len(head) > 1 and head.isupper() and tail.isupper())
+
+
+def corrected(text: str, misread: dict[str, str]) -> str:
+    return _TOKEN.sub(lambda m: _cased(m[0], misread[m[0].lower()]) if m[0].lower() in misread else m[0], text)
+
+
 def _cased(was: str, word: str) -> str:
     return word.upper() if was.isupper() and len(was) > 1 else word[:1].upper() + word[1:] if was[:1].isupper() else word
 
@@ -370,21 +387,71 @@ def paragraphs(rows: DataFrame, learned: Learned) -> DataFrame:
     styles = learned.styles.groupBy("file").agg(F.collect_set("style").alias("styles"))
     full = own.join(fixes, ["table_name", "row_key"], "left").join(keeps, ["table_name", "row_key"], "left").join(titles, "file", "left").join(styles, "file", "left")
 
+    placed = "place" in rows.columns
+
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         some = lambda x: frozenset() if x is None else frozenset(x)
         for b in batches:
-            texts = [
-                repaired(r.text, dict(r.fixes) if r.fixes is not None else {}, some(r.titles), some(r.styles), some(r.keeps))
-                for r in b.itertuples(index=False)
-            ]
-            yield b[["table_name", "row_key"]].assign(text=texts)
-
-    return spread(full).mapInPandas(repair, "table_name string, row_key string, text string")
-
-
-def both_tables(blocks: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The project's blocks and chunks as rows of this operator."""
-    b = rows_of(blocks, "parsed_blocks", "block_id", "source_file", "content", F.col("kind"), F.col("unit"))
-    c = rows_of(chunks.withColumn("__file", F.col("provenance.source_document")), "chunks", "chunk_id", "__file", "text", F.lit("text"), F.lit(None))
+            out = []
+            for r in b.itertuples(index=False):
+                fixes, known = dict(r.fixes) if r.fixes is not None else {}, (some(r.titles), some(r.styles), some(r.keeps))
+                plain = reflowed(r.text, *known)
+                text = corrected(plain, fixes)
+                if not placed or r.kind != "text" or r.place != r.place or not plain:
+                    out.append((r.table_name, r.row_key, text, None, None, None, None, None, None, None, None))
+                    continue
+                head, tail = _HEAD.search(plain), _TAIL.match(reflowed(r.text[int(r.overlap) :], *known) if r.overlap else plain)
+                if tail and (not r.overlap and tail.end() == len(plain) and head):
+                    tail = None
+                first = (tail[1], corrected(tail[2], fixes), 0 if r.overlap else len(corrected(tail[0], fixes))) if tail else (None, None, None)
+                last = (head[1], head[2], len(corrected(head[1], fixes)) + 1) if head else (None, None, None)
+                out.append((r.table_name, r.row_key, text, r.file, int(r.place), *first, *last))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], dtype=object)
+
+    schema = "table_name string, row_key string, text string, file string, place bigint, first string, after string, n_first int, last string, hyphen string, n_last int"
+    if placed:
+        full = full.join(rows.select("table_name", "row_key", "kind", "place", "overlap").groupBy("table_name", "row_key").agg(
+            *[F.min(c).alias(c) for c in ("kind", "place", "overlap")]), ["table_name", "row_key"])
+    done = spread(full).mapInPandas(repair, schema)
+    if not placed:
+        return done.select("table_name", "row_key", "text")
+    done = written(done, scratch_dir(rows.sparkSession, "paragraphs"))
+    pairs = written(_over_rows(done, learned), scratch_dir(rows.sparkSession, "divided"))
+    out = done.join(pairs.select("table_name", "row_key", "last", "word"), ["table_name", "row_key", "last"], "left")
+    taken = pairs.where("n_first > 0").select("table_name", F.col("next_key").alias("row_key"), "first", F.lit(True).alias("taken")).distinct()
+    out = out.join(taken, ["table_name", "row_key", "first"], "left")
+    whole = F.when(F.col("word").isNull(), F.col("text")).otherwise(F.concat(F.expr("left(text, length(text) - n_last)"), "word"))
+    rest = F.when(F.col("taken"), F.regexp_replace(F.expr("substring(whole, n_first + 1)"), r"^\s+", "")).otherwise(F.col("whole"))
+    return out.withColumn("whole", whole).select("table_name", "row_key", rest.alias("text"))
+
+
+def _over_rows(done: DataFrame, learned: Learned) -> DataFrame:
+    """(table_name, row_key, last, word, next_key, first, n_first): rows whose last word goes on in the file's next row, and that word."""
+    nxt = F.struct(F.col("row_key").alias("next_key"), "first", "after", "n_first")
+    one = done.where("place is not null").groupBy("table_name", "file", "place").agg(
+        F.min(F.struct("row_key", "first", "after", "n_first", "last", "hyphen")).alias("r")
+    ).select("table_name", "file", "place", "r.*").withColumn("part", F.floor(F.col("place") / RANGE))
+    within = Window.partitionBy("table_name", "file", "part").orderBy("place")
+    over = Window.partitionBy("table_name", "file").orderBy("part")
+    parts = one.groupBy("table_name", "file", "part").agg(F.min_by(nxt, "place").alias("begins"))
+    parts = parts.withColumn("beyond", F.lead("begins").over(over)).drop("begins")
+    near = one.withColumn("near", F.lead(nxt).over(within)).where("last is not null").join(parts, ["table_name", "file", "part"])
+    near = near.withColumn("n", F.coalesce("near", "beyond")).select("table_name", "row_key", "last", "hyphen", "n.*").where("first is not null")
+    capitals = (F.length("last") > 1) & (F.col("last") == F.upper("last")) & (F.col("first") == F.upper("first"))
+    near = near.where(F.col("first").rlike(r"^\p{Ll}") | capitals)
+    hangs = learned.hyphens.select(F.col("a").alias("x"), F.lit("-").alias("hyphen"))
+    near = near.withColumn("x", F.lower("last")).join(hangs, ["x", "hyphen"], "left_anti")
+    near = near.withColumn("x", F.lower(F.concat("last", "first"))).join(learned.misread.select(F.col("word").alias("x"), "near"), "x", "left")
+    initial = F.substring("last", 1, 1)
+    cased = F.when(capitals, F.upper("near")).when(initial != F.lower(initial), F.concat(F.upper(F.substring("near", 1, 1)), F.expr("substring(near, 2)"))).otherwise(F.col("near"))
+    word = F.concat(F.coalesce(cased, F.concat("last", "first")), "after")
+    return near.select("table_name", "row_key", "last", word.alias("word"), "next_key", "first", "n_first")
+
+
+def both_tables(blocks: DataFrame, chunks: DataFrame, placed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The project's blocks and chunks as rows of this operator; ``placed``: with their order in the file."""
+    at = lambda place, overlap: (F.col(place), overlap) if placed else ()
+    b = rows_of(blocks, "parsed_blocks", "block_id", "source_file", "content", F.col("kind"), F.col("unit"), *at("block_no", F.lit(0)))
+    c = rows_of(chunks.withColumn("__file", F.col("provenance.source_document")), "chunks", "chunk_id", "__file", "text", F.lit("text"), F.lit(None), *at("chunk_index", F.col("overlap_prefix_chars")))
     return b, c
 

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from lodestone.llm import scans
 
 PROSE = (
@@ -44,6 +47,27 @@ def test_paragraphs(spark):
     assert text[60] == "Расход карбоната натрия составил десять единиц."
 
 
+@pytest.mark.parametrize("size", [1, 1000])
+def test_paragraphs_join_words_over_rows_and_empty_lines(spark, monkeypatch, size):
+    monkeypatch.setattr(scans, "RANGE", size)
+    rows = [
+        ("Доля твёрдого оставалась в преде-", 0), ("- 3 -", 0), ("лах, 30 г/л. Расход нат-\n\n- 3 -\n\nрия со-", 0), ("ставил кар-", 0), ("б0ната. Конец-", 0), ("Начало тепло-", 0), ("и массообмен", 0),
+        ("общая доля оста-", 0), ("доля оста-\nлась в покое", 10),
+    ]
+    extra = [("b.pdf", "тепло- и свет, тепло- и свет; карб0ната", "text", 1)] + [("a.pdf", t, "text", 3) for t, _ in rows]
+    b = _blocks(spark, extra=extra)
+    first = 4 * 6 + 3 * 6 * 2 + 1
+    k = F.col("row_key").cast("int")
+    overlap = F.coalesce(*[F.when(k == first + i, n) for i, (_, n) in enumerate(rows)], F.lit(0))
+    got = scans.paragraphs(b.withColumn("place", k.cast("long")).withColumn("overlap", overlap), scans.Learned(b)).collect()
+    text = {int(r.row_key) - first: r.text for r in got}
+    assert [text[i] for i in range(len(rows))] == [
+        "Доля твёрдого оставалась в пределах,", "", "30 г/л. Расход натрия составил", "карбоната.", "Конец-", "Начало тепло-", "и массообмен",
+        "общая доля осталась", "доля осталась в покое",
+    ]
+    assert len(got) == len({r.row_key for r in got})
+
+
 def test_repeated_rows_and_the_way_beyond_the_broadcast(spark, monkeypatch):
     extra = [("a.pdf", "Расход карб0ната", "text", 2)] * 2
     wide, _ = _noise(spark, extra)
