@@ -104,7 +104,7 @@ def seed_terms(tokens: Column) -> Column:
 
 
 def fuzzy_seeds(names: DataFrame, terms: DataFrame, k: int = 25) -> DataFrame:
-    """(query_id, name, score): node names that contain terms, by the summed length of the terms.
+    """(query_id, name, score): node names with words that begin with terms, by the summed length of the terms.
 
     Names are cut into their own prefixes' words, so that the join is by equality: a term matches where a word of the
     name begins with it.
@@ -120,6 +120,23 @@ def fuzzy_seeds(names: DataFrame, terms: DataFrame, k: int = 25) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
+def containing_seeds(names: DataFrame, terms: DataFrame, k: int = 25) -> DataFrame:
+    """(query_id, name, score) as fuzzy_seeds, with terms (three letters and more) anywhere in a name, also within a word or over a hyphen.
+
+    Distinct names and distinct terms meet by equality in the term's first three letters before they are compared whole.
+    """
+    from pyspark.sql import Window
+
+    low = names.select("name").distinct().withColumn("low", F.lower("name")).where("length(low) >= 3")
+    three = F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3)))
+    asked = terms.where("length(term) >= 3").select("query_id", "term").distinct()
+    start = asked.select("term", F.substring("term", 1, 3).alias("three")).distinct()
+    found = low.select("name", "low", F.explode(F.array_distinct(three)).alias("three")).join(start, "three").where(F.contains("low", "term"))
+    scored = found.select("name", "term").join(asked, "term").groupBy("query_id", "name").agg(F.sum(F.length("term")).cast("long").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
 def by_names(nodes: DataFrame, names: list[str]) -> DataFrame:
     """Nodes whose name is on a list, whatever the case."""
     return nodes.where(F.lower("name").isin([n.lower() for n in names]))

@@ -106,10 +106,18 @@ def top_related_full(spark, d):
     return r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
 
-def fuzzy_seeds(spark, d):
+def _terms(spark, d):
     q = table(spark, d, "documents").where("doc_id % 100 = 0 and title is not null")
-    terms = q.select(F.col("doc_id").alias("query_id"), F.explode(G.seed_terms(tokenize("title"))).alias("term"))
-    return G.fuzzy_seeds(facts.entities(spark, d).select("name").distinct(), terms)
+    return q.select(F.col("doc_id").alias("query_id"), F.explode(G.seed_terms(tokenize("title"))).alias("term"))
+
+
+def fuzzy_seeds(spark, d):
+    return G.fuzzy_seeds(facts.entities(spark, d).select("name").distinct(), _terms(spark, d))
+
+
+def fuzzy_seeds_full(spark, d):
+    """fuzzy_seeds by terms anywhere in a name; the SQL twin keeps fuzzy_seeds to where a word begins."""
+    return G.containing_seeds(facts.entities(spark, d), _terms(spark, d))
 
 
 def degree_isolated(spark, d):
@@ -158,6 +166,7 @@ QUERIES = {
     for f in (
         entities_by_name, by_geography, by_year_range, by_numeric_value, multi_filter_union, reach_4hop, trails_3hop, top_related, fuzzy_seeds,
         degree_isolated, coverage_report, hop_stats, context_lines, reach_4hop_full, trails_3hop_full, top_related_full, hop_stats_full,
+        fuzzy_seeds_full,
     )
 }
 

@@ -46,3 +46,13 @@ def test_trails_are_counted_as_enumerated(spark):
     for hops in (1, 2, 3):
         want = graph.trails(seeds, e, hops).groupBy("seed", "node", F.size("edges").alias("hops")).count().collect()
         assert {tuple(r) for r in graph.trail_counts(seeds, e, hops).select("seed", "node", "hops", "n_trails").collect()} == {tuple(r) for r in want}
+
+
+def test_seeds_contain_terms_anywhere(spark):
+    sql = entry.oracle_sql()["fuzzy_seeds"]
+    anywhere = sql.replace("JOIN w ON starts_with(word, term)", "JOIN names ON contains(lower(name), term)")
+    assert anywhere != sql
+    oracle.same(spark, entry.queries()["fuzzy_seeds_full"], anywhere)
+    names = spark.createDataFrame([("Two-stage separation",), ("Hydrometallurgy",), ("ab",)], "name string")
+    terms = spark.createDataFrame([(1, "two-stage"), (1, "metal"), (1, "metal")], "query_id long, term string")
+    assert {tuple(r) for r in graph.containing_seeds(names, terms).collect()} == {(1, "Two-stage separation", 9), (1, "Hydrometallurgy", 5)}
