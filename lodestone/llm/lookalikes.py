@@ -18,7 +18,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Groups of letters that look alike, as Latin, Cyrillic, Greek ('-' where a script has none).
@@ -121,19 +121,22 @@ def slots(df: DataFrame, row_id: str, name: str, others: str) -> DataFrame:
     return out.where("value is not null")
 
 
-def bigram_counts(values: DataFrame) -> DataFrame:
-    """(a, b, n) over the words of one script, with ^ and $ as borders; at most the alphabets' square of rows."""
+def bigram_counts(values: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(a, b, n) over the words of values of plain letters only, with ^ and $ as borders.
+
+    Values that hold any letter outside the three alphabets are suspicious, so there are at most the alphabets' square of rows.
+    """
     word = F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"\p{L}{2,}"), F.lit(0)))
-    clean = values.where(~F.col("value").rlike(SUSPICIOUS)).select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    clean = values.where(~F.col("value").rlike(SUSPICIOUS)).select(word.alias("w"), (F.lit(1) if weight is None else weight).alias("n")).groupBy("w").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(marked, i, F.lit(2))))
     pairs = clean.select(pair.alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
     return pairs.select(F.substring("p", 1, 1).alias("a"), F.substring("p", 2, 1).alias("b"), "n")
 
 
-def bigram_scores(values: DataFrame) -> dict[tuple[str, str], float]:
+def bigram_scores(values: DataFrame, weight: Column | None = None) -> dict[tuple[str, str], float]:
     """Log-probabilities of b after a; a table bounded by the alphabets."""
-    rows = bigram_counts(values).collect()
+    rows = bigram_counts(values, weight).collect()
     total: dict[str, int] = {}
     for r in rows:
         total[r.a] = total.get(r.a, 0) + r.n
