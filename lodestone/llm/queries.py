@@ -90,7 +90,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.verdicts(table(spark, d, "documents"), "doc_id", "text").where("truncated").select("doc_id").distinct()
+    return truncation.verdicts(table(spark, d, "documents"), "doc_id", "text", "source").where("truncated").select("doc_id").distinct()
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
