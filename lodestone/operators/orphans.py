@@ -1,19 +1,21 @@
 """References to records that do not exist, kept as keyed state and advanced batch by batch.
 
-The state has two tables, both keyed by (parent scope, parent id):
+The state is two logs, both keyed by (parent scope, parent id). ``advance`` takes the events of one period and appends to each
+log only what the period's keys change, so a period writes in proportion to its own keys; the row of the latest version holds:
 
 * the parent index: rows ever seen, rows still valid, and when the first still valid row arrived;
-* the references: what each of them found when its key was last touched (``reason`` null: its parent was there in time).
+* the references: what each of them found (``reason`` null: its parent was there in time), and what it had found before.
 
-``advance`` takes the events of one period. New references probe the index; a parent that arrives settles the
-waiting references of its key (they stay on record as 'late'); a deletion reopens those that relied on it. Only the
-keys that the period touches are evaluated again. Everything is joined on the key; aggregates combine before the
-shuffle, so a parent key repeated by a third of all rows becomes one index row, and a key that a third of the
-references name is split by the adaptive skew join.
+New references probe the index; a parent that arrives settles the waiting references of its key (they stay on record as
+'late'); a deletion reopens those that relied on it. Only the keys that the period touches are evaluated again. Counts at the
+end of every period are sums over the changes, so snapshots need no pass over the whole state. Everything is joined on the
+key; aggregates combine before the shuffle, so a parent key repeated by a third of all rows becomes one index row, and a key
+that a third of the references name is split by the adaptive skew join.
 
 Defined results: null and blank references are none; blanks around ids don't count, case does; a reference whose scope
-is null finds nothing ('missing'); unknown times are never 'late'; empty tables give empty results; repeated parents
-count as rows of their key; repeated reference ids give one row for each distinct (id, slot).
+is null finds nothing ('missing'); unknown times lie before all others and are never 'late'; parents of unknown arrival can be
+deleted like others; empty tables give empty results; repeated parents count as rows of their key; repeated reference ids give
+one row for each distinct (id, slot).
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ KEY = ["scope", "parent_id"]
 
 @dataclass(frozen=True)
 class OrphanState:
-    """Parent index and evaluated references after some period."""
+    """Logs of the parent index and of the evaluated references after some period, and the number of that period."""
 
     index: DataFrame
     references: DataFrame
+    version: int = 0
 
 
 def parent_rows(df: DataFrame, scope: str, parent_id: str, row_id: str, arrived: str, deleted: str) -> DataFrame:
@@ -64,13 +67,13 @@ def _summary(parents: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def _probe(refs: DataFrame, index: DataFrame) -> DataFrame:
+def _probe(refs: DataFrame, index: DataFrame, *kept: str) -> DataFrame:
     reason = (
         F.when(F.col("n_rows").isNull(), "missing")
         .when(F.col("n_valid") == 0, "deleted")
         .when(F.col("first_valid_at") > F.col("made_at"), "late")
     )
-    return refs.join(index, KEY, "left").select("ref_id", "slot", *KEY, "made_at", reason.alias("reason"))
+    return refs.join(index, KEY, "left").select("ref_id", "slot", *KEY, "made_at", reason.alias("reason"), *kept)
 
 
 def _within(col: str, lo, hi) -> Column:
@@ -82,32 +85,45 @@ def _within(col: str, lo, hi) -> Column:
     return (c.isNull() | test) if lo is None else test
 
 
+def _latest(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the latest version."""
+    rest = [c for c in log.columns if c not in (*keys, "version")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("x")).select(*keys, "x.*")
+
+
 def advance(state: OrphanState | None, parents: DataFrame, refs: DataFrame, lo, hi, folder: str) -> OrphanState:
     """The state after the events from ``lo`` (None: the beginning) to before ``hi`` (None: the end).
 
-    ``parents`` and ``refs`` are the logs; only the rows of the period are read into the state, and of the parents
-    also the rows of keys that have a deletion in the period. The new state is written to ``folder``.
+    ``parents`` and ``refs`` are the logs of events; only the rows of the period are read into the state, and of the parents
+    also the rows of keys that have a deletion in the period. What the period changes is written to ``folder``.
     """
     now = F.lit(hi).cast("timestamp_ntz") if hi is not None else F.lit("9999-12-31").cast("timestamp_ntz")
-    arrivals = parents.where(_within("arrived_at", lo, hi))
-    new_refs = refs.where(_within("made_at", lo, hi))
-    delta = _summary(arrivals, now)
+    version = 0 if state is None else state.version + 1
+    marked = lambda df, name: written(df.withColumn("version", F.lit(version)), f"{folder}/{name}")
+    new_refs = refs.where(_within("made_at", lo, hi)).distinct()
+    delta = _summary(parents.where(_within("arrived_at", lo, hi)), now)
+    unknown = F.lit(None).cast("string")
     if state is None:
-        index = written(delta, f"{folder}/index")
-        return OrphanState(index, written(_probe(new_refs, index), f"{folder}/references"))
-    gone = F.col("deleted_at").isNotNull() & _within("deleted_at", lo, hi) & (F.col("arrived_at") < F.lit(lo))
+        index = marked(delta, "index")
+        return OrphanState(index, marked(_probe(new_refs, index).withColumn("was", unknown).withColumn("is_new", F.lit(True)), "references"))
+    gone = _within("deleted_at", lo, hi) & F.col("deleted_at").isNotNull() & (F.col("arrived_at").isNull() | (F.col("arrived_at") < F.lit(lo)))
     reopened = written(parents.where(gone).select(*KEY).distinct(), f"{folder}/reopened")
     recount = _summary(parents.where(_within("arrived_at", None, hi)).join(reopened, KEY, "left_semi"), now)
-    kept = state.index.join(reopened, KEY, "left_anti").unionByName(delta.join(reopened, KEY, "left_anti"))
-    merged = kept.groupBy(*KEY).agg(
+    arrived = written(delta.join(reopened, KEY, "left_anti"), f"{folder}/arrived")
+    known = _latest(state.index.join(arrived, KEY, "left_semi"), KEY)
+    merged = known.unionByName(arrived).groupBy(*KEY).agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_valid").alias("n_valid"), F.min("first_valid_at").alias("first_valid_at")
     )
-    index = written(merged.unionByName(recount), f"{folder}/index")
-    touched = delta.select(*KEY).unionByName(reopened).distinct()
-    again = state.references.select("ref_id", "slot", *KEY, "made_at").join(touched, KEY, "left_semi")
-    probed = _probe(again.unionByName(new_refs.select(again.columns)), index)
-    untouched = state.references.join(touched, KEY, "left_anti")
-    return OrphanState(index, written(untouched.unionByName(probed.select(untouched.columns)), f"{folder}/references"))
+    changed = marked(merged.unionByName(recount), "index")
+    index = state.index.unionByName(changed)
+    ref_key = ["ref_id", "slot", *KEY, "made_at"]
+    again = _latest(state.references.join(changed.select(*KEY), KEY, "left_semi").select(*ref_key, "reason", "version"), ref_key)
+    asked = again.select(*ref_key, F.col("reason").alias("was"), F.lit(False).alias("is_new")).unionByName(
+        new_refs.select(*ref_key, unknown.alias("was"), F.lit(True).alias("is_new"))
+    )
+    probed = _probe(asked, _latest(index.join(asked.select(*KEY).distinct(), KEY, "left_semi"), KEY), "was", "is_new")
+    found = marked(probed.where(~F.col("reason").eqNullSafe(F.col("was")) | F.col("is_new")), "references")
+    return OrphanState(index, state.references.unionByName(found), version)
 
 
 def period_bounds(parents: DataFrame, refs: DataFrame, period: str) -> list:
@@ -126,18 +142,28 @@ def replay(parents: DataFrame, refs: DataFrame, period: str = "year"):
         lo = hi
 
 
+def references_now(state: OrphanState) -> DataFrame:
+    """(ref_id, slot, scope, parent_id, made_at, reason) of every reference, as last evaluated."""
+    return _latest(state.references.drop("was", "is_new"), ["ref_id", "slot", *KEY, "made_at"])
+
+
 def orphans(parents: DataFrame, refs: DataFrame, period: str = "year") -> DataFrame:
     """ref_id, slot, made_at and reason of every reference in conflict after all periods."""
     for _, state in replay(parents, refs, period):
         pass
-    return state.references.where("reason is not null").select("ref_id", "slot", "made_at", "reason").distinct()
+    return references_now(state).where("reason is not null").select("ref_id", "slot", "made_at", "reason").distinct()
 
 
 def snapshots(parents: DataFrame, refs: DataFrame, period: str = "quarter") -> DataFrame:
-    """Counts of references by slot and reason at the end of each period, as known then ('open' ones have no parent yet)."""
-    out = None
+    """Counts of references by slot and reason at the end of each period, as known then ('missing' ones have no parent yet)."""
+    ends = []
     for hi, state in replay(parents, refs, period):
-        counts = state.references.groupBy("slot", F.coalesce("reason", F.lit("found")).alias("reason")).agg(F.count("*").alias("n"))
-        counts = counts.select(F.lit(hi).cast("timestamp_ntz").alias("known_until"), "slot", "reason", "n")
-        out = counts if out is None else out.unionByName(counts)
-    return out
+        ends.append(hi)
+    shown = lambda c: F.coalesce(c, F.lit("found")).alias("reason")
+    log = state.references
+    change = log.select("version", "slot", shown("reason"), F.lit(1).alias("n")).unionByName(
+        log.where(~F.col("is_new")).select("version", "slot", shown("was"), F.lit(-1).alias("n"))
+    ).groupBy("version", "slot", "reason").agg(F.sum("n").alias("n"))
+    periods = parents.sparkSession.createDataFrame(list(enumerate(ends)), "known int, known_until timestamp_ntz")
+    out = periods.join(F.broadcast(change), F.col("version") <= F.col("known")).groupBy("known", "known_until", "slot", "reason").agg(F.sum("n").alias("n"))
+    return out.where("n > 0").select("known_until", "slot", "reason", "n")

@@ -59,6 +59,11 @@ def chunk_documents(spark, d):
     return chunking.chunked(table(spark, d, "documents"), "doc_id", "text")
 
 
+def chunk_cover(spark, d):
+    """The texts put together again from their chunks, without blanks."""
+    return chunking.cover(chunk_documents(spark, d))
+
+
 def chunk_report(spark, d):
     return _blocks(spark, d).groupBy("doc_type", "kind").agg(
         F.count("*").alias("n_blocks"), F.count_distinct("source_file").alias("n_files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n_chars")
@@ -171,7 +176,7 @@ def mention_check(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        block_markdown, markdown_lines, front_matter, sentences, chunk_documents, chunk_report, text_yield_flags, image_references, signature_gate,
+        block_markdown, markdown_lines, front_matter, sentences, chunk_documents, chunk_cover, chunk_report, text_yield_flags, image_references, signature_gate,
         safe_paths, numeric_simple, numeric_expressions, unit_normalize, operator_normalize, glossary_match, nonoverlap_spans, synonym_candidates, alias_pairs,
         mock_extraction, convert_results, json_recover, mention_check,
     )
@@ -195,6 +200,8 @@ SELECT chunk_id, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line
   WHEN starts_with(trim(line), '[IMAGE_') THEN 'image' ELSE 'text' END AS kind, count(*) AS n FROM l GROUP BY 1, 2""",
     "front_matter": "SELECT doc_id, 4 + 8 + length(source) + 1 + 6 + length(coalesce(doc_type, 'none')) + 1 + 4 AS \"offset\", source, coalesce(doc_type, 'none') AS kind FROM documents",
     "sentences": r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^.!?…]*[.!?…]+|[^.!?…\s][^.!?…]*$'), lambda x: trim(x) <> '')) AS n_sentences FROM documents",
+    "chunk_cover": r"""WITH s AS (SELECT doc_id::VARCHAR AS doc_id, regexp_replace(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g') AS solid FROM documents)
+SELECT doc_id, length(solid)::INT AS n_solid, md5(solid) AS digest FROM s WHERE solid <> ''""",
     "chunk_report": "SELECT doc_type, kind, count(*) AS n_blocks, count(DISTINCT source_file) AS n_files, coalesce(sum(length(content)), 0)::BIGINT AS n_chars FROM parsed_blocks GROUP BY 1, 2",
     "text_yield_flags": r"""SELECT source_file, count(DISTINCT unit) AS n_units, round(sum(length(content)) / count(DISTINCT unit), 4) AS chars_per_unit,
   round(sum(length(regexp_replace(content, '[\p{L}\p{N}\p{P}\p{Z}\s\x0B]', '', 'g'))) / sum(length(content)), 8) AS odd_share FROM parsed_blocks WHERE unit IS NOT NULL AND content IS NOT NULL GROUP BY 1""",

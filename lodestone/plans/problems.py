@@ -82,4 +82,15 @@ SQL = {
     + """SELECT 'llm_relations' AS table_name, strftime(extracted_at, '%Y-%m') AS month, endpoint, reason, count(*) AS n_orphans
 FROM (SELECT DISTINCT relation_row_id, endpoint, extracted_at, reason FROM found WHERE reason IS NOT NULL)
 GROUP BY ALL""",
+    "p1_snapshots": """WITH refs AS (
+  SELECT DISTINCT relation_row_id, chunk_id, 'subject' AS slot, trim(subject) AS ref, extracted_at AS made FROM llm_relations UNION ALL
+  SELECT DISTINCT relation_row_id, chunk_id, 'object', trim(object), extracted_at FROM llm_relations),
+ent AS (SELECT chunk_id, trim(local_id) AS local_id, extracted_at AS arrived, retracted_at AS gone FROM llm_entities WHERE trim(local_id) <> '' AND chunk_id IS NOT NULL),
+q AS (SELECT DISTINCT date_trunc('quarter', t)::TIMESTAMP AS hi FROM (SELECT arrived AS t FROM ent UNION ALL SELECT gone FROM ent UNION ALL SELECT made FROM refs WHERE ref <> '') WHERE t IS NOT NULL),
+p AS (SELECT hi AS known_until, hi FROM q WHERE hi > (SELECT min(hi) FROM q) UNION ALL SELECT NULL, TIMESTAMP '9999-12-31'),
+idx AS (SELECT hi, chunk_id, local_id, count(*) AS n, count(*) FILTER (gone IS NULL OR gone >= hi) AS live, min(arrived) FILTER (gone IS NULL OR gone >= hi) AS first_live
+  FROM ent JOIN p ON arrived IS NULL OR arrived < hi GROUP BY 1, 2, 3),
+found AS (SELECT known_until, slot, CASE WHEN n IS NULL THEN 'missing' WHEN live = 0 THEN 'deleted' WHEN first_live > made THEN 'late' ELSE 'found' END AS reason
+  FROM (SELECT * FROM refs JOIN p ON ref <> '' AND (made IS NULL OR made < hi)) r LEFT JOIN idx ON r.hi = idx.hi AND r.chunk_id = idx.chunk_id AND r.ref = idx.local_id)
+SELECT known_until, slot, reason, count(*) AS n FROM found GROUP BY ALL""",
 }

@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,24 @@ def test_chunk_rules():
     assert [c[4] for c in chunking.chunk("# A\nx.\n## B\ny.\n## C\nz.", chunking.ChunkSizes(least=1))] == [["A"], ["A", "B"], ["A", "C"]]
 
 
+def test_chunks_of_long_texts_take_linear_time():
+    text = "Смена приняла сырьё и провела опыт. " * 30_000
+    began = time.time()
+    got = chunking.chunk(text, chunking.ChunkSizes())
+    assert len(text) > 1_000_000 and time.time() - began < 3 and all(o <= 400 for _, _, o, *_ in got)
+    assert chunking.body_start("---\na\n" * 200_000) == 10 and chunking.body_start("---\n" + "a\n" * 500_000) == 0
+
+
+def test_short_chunks_and_leads():
+    sizes = chunking.ChunkSizes(target=55, most=100, least=30, overlap_sentences=1, overlap_chars=40)
+    text = "One is here. Two is there now. Three is a longer sentence than two. Four.\n### Head\n[IMAGE_1]\nFive comes after the picture and the head."
+    got = chunking.chunk(text, sizes)
+    assert [text[a + o : b] for a, b, o, *_ in got] == [
+        "One is here. Two is there now.", "Three is a longer sentence than two. Four.\n### Head\n", "[IMAGE_1]\nFive comes after the picture and the head.",
+    ] and [text[a : a + o] for a, _, o, *_ in got] == ["", "Two is there now. ", "Four.\n### Head\n"]
+    assert [c[4] for c in got] == [[], [], ["Head"]]
+
+
 def test_chunked_handles_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Some text. More."), (3, "Some text. More.")], "id int, text string")
     assert [r.doc_id for r in chunking.chunked(df, "id", "text").collect()] == ["3", "3"]
