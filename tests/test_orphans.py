@@ -26,7 +26,7 @@ def _brute(parents, refs):
                 out.add((i, slot, "missing"))
             elif not live:
                 out.add((i, slot, "deleted"))
-            elif at is not None and all(p[3] is not None for p in live) and min(p[3] for p in live) > at:
+            elif at is not None and any(p[3] is not None for p in live) and min(p[3] for p in live if p[3] is not None) > at:
                 out.add((i, slot, "late"))
     return out
 
@@ -38,7 +38,8 @@ def _random(n, seed):
     parents = []
     for k in range(n):
         at = day()
-        parents.append((g.choice(["a", "b", "c", None]), g.choice(ids), k, at, at + timedelta(days=g.randint(1, 300)) if g.random() < 0.5 else None, "x", "y"))
+        nowhen = g.random() < 0.15
+        parents.append((g.choice(["a", "b", "c", None]), g.choice(ids), k, None if nowhen else at, at + timedelta(days=g.randint(1, 300)) if g.random() < 0.5 else None, "x", "y"))
     refs = [(k, g.choice(["a", "b", "c", "d", None]), g.choice(ids), g.choice(ids), day(), "z") for k in range(n)]
     return parents, refs
 
@@ -68,3 +69,31 @@ def test_snapshots_follow_time(spark):
     refs = [(1, "a", "e1", None, datetime(2023, 1, 5), "z")]
     got = {(r.known_until, r.reason) for r in orphans.snapshots(*_frames(spark, parents, refs), "quarter").collect()}
     assert (datetime(2023, 7, 1), "missing") in got and (datetime(2024, 7, 1), "late") in got and (None, "deleted") in got
+
+
+def test_parents_of_unknown_arrival_can_be_deleted(spark):
+    parents = [("a", "e1", 1, None, datetime(2022, 5, 1), "x", "y"), ("a", "e2", 2, T, None, "x", "y")]
+    refs = [(1, "a", "e1", "e2", datetime(2021, 1, 5), "z"), (2, "a", "e2", None, datetime(2023, 2, 1), "z")]
+    got = {(r.ref_id, r.slot, r.reason) for r in orphans.orphans(*_frames(spark, parents, refs)).collect()}
+    assert got == {(1, "subject", "deleted"), (1, "object", "late")}
+
+
+def test_snapshots_equal_a_new_evaluation_of_each_period(spark):
+    parents, refs = _random(60, 5)
+    p, r = _frames(spark, parents, refs)
+    got = {(x.known_until, x.slot, x.reason): x.n for x in orphans.snapshots(p, r, "quarter").collect()}
+    for hi in {k[0] for k in got}:
+        then = [(*x[:4], x[4] if x[4] and (hi is None or x[4] < hi) else None, *x[5:]) for x in parents if hi is None or x[3] is None or x[3] < hi]
+        made = [x for x in refs if hi is None or x[4] < hi]
+        want = {}
+        for _, slot, reason in _brute(then, made):
+            want[slot, reason] = want.get((slot, reason), 0) + 1
+        assert {k[1:]: n for k, n in got.items() if k[0] == hi and k[2] != "found"} == want
+
+
+def test_a_period_writes_its_own_keys_only(spark):
+    parents = [("a", f"e{k}", k, T, None, "x", "y") for k in range(500)] + [("a", "late", 900, datetime(2024, 3, 1), None, "x", "y")]
+    refs = [(k, "a", f"e{k}", None, T, "z") for k in range(500)] + [(900, "a", "late", None, T, "z")]
+    states = [s for _, s in orphans.replay(*_frames(spark, parents, refs), "year")]
+    written = [states[-1].references.where(f"version = {v}").count() for v in (0, 1)]
+    assert written == [501, 1] and states[-1].index.where("version = 1").count() == 1
