@@ -60,7 +60,8 @@ def open_brackets(text: Column) -> Column:
         passed = token.startswith("\\") | (tag & name(token).isin(*WITHOUT_END))
         return F.when(passed, stack).when(closes, closed).otherwise(F.concat(stack, element))
 
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    every, plain = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_TOKEN, r"[()\[\]{}«»“”]"))
+    tokens = F.when(text.rlike(r"[\"<\\]"), every).otherwise(plain)  # most texts hold brackets only
     return F.when(text.rlike(r"[(\[{«“\"<]"), F.replace(F.aggregate(tokens, F.lit(""), step), F.lit(_END), F.lit(""))).otherwise("")
 
 
@@ -161,11 +162,12 @@ def verdicts(docs: DataFrame, doc_id: str, text: str, source: str | None = None)
     folder = scratch_dir(docs.sparkSession, "truncation")
     ends = written(endings(docs, doc_id, text, source), f"{folder}/endings")
     first = ends.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = ends.join(first, "digest").where("doc_id <> first")
+    copies = ends.join(first, "digest").where("doc_id <> first").select(F.col("doc_id").alias(doc_id)).distinct()
+    copies = written(copies, f"{folder}/copies")  # of known size: few copies don't move the texts
     once = ends.groupBy("digest", "source").agg(*[F.first(c).alias(c) for c in ("kind", "n_long", "n_long_ended", "n_short", "n_short_ended")])
     base = baselines(once)
     open_ends = ends.where(F.col("kind").isin("listlike", "unknown"))
-    others = docs.join(copies.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+    others = docs.join(copies, doc_id, "left_anti")
     asked = open_ends.select("w1", "w2").distinct()
     pairs = written(continuations(others, text), f"{folder}/pairs")
     seen = begun(pairs, asked, ["w1"]).drop("n_inside")
