@@ -1,9 +1,10 @@
 """Noise in text from scanned pages: found row by row, and repaired into continuous paragraphs.
 
-Words: Spark counts every word of the corpus and trains skip-gram vectors on all of it (``pyspark.ml``). A rare word is
-linked to more frequent words that differ by plausible glyph edits; the link is a join of its variants with the whole
-vocabulary. Among several neighbours the skip-gram vectors decide, that is the contexts in which both words stand; a
-pair that stands in opposite contexts is no link.
+Words: one pass counts every word of the corpus and the contexts around it; Spark sums them, and skip-gram vectors follow from
+the sums, for rare words too. A rare word is linked to more frequent words that differ by plausible glyph edits: words that
+any edits could make equal share a key, the pairs of a key are joined and the edits verified. Every link is ranked by
+frequency and by the likeness of the contexts; a frequent pair without common contexts is no link. Where several links are
+left, each occurrence is corrected to the one whose vector suits the words around it.
 
 Furniture: the first and last lines of blocks are folded to a skeleton in which confusable glyphs are equal. A line
 whose skeleton comes back on many pages of its file is a running title; a number that follows the page count of its
@@ -15,7 +16,7 @@ over rows too: the row with the first half gets the whole word and what is writt
 of the file begins after it. Where chunks overlap the later chunk holds the whole word anyway and keeps it. Which row comes
 next is found within ranges of RANGE places, so that a large file is no single task. A word over three rows is joined once.
 
-The vocabulary never passes through the driver. The list of misread words is broadcast only up to ``BROADCAST`` entries;
+The vocabulary and its vectors never pass through the driver. The list of misread words is broadcast only up to ``BROADCAST`` entries;
 beyond that the distinct words of each row are joined with it.
 
 Defined results: null and blank texts have no noise; rows of formats that aren't scanned are left out; repeated rows give
@@ -28,21 +29,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import parallel, scratch_dir, spread, written
 
 # Glyphs as printed and as misread.
 GLYPHS = (
-    "о 0;т г;н п;в 8;e c;ы ьi;з 3;ч 4;t f;б 6;ж >к;i l;i |;o 0;п л;s 5;l 1;ц и;d cl;ю 10;ш щ;m rn;h b;g 9;z 2;l |;i 1;э 3;w vv"
+    ("о", "0"), ("т", "г"), ("н", "п"), ("в", "8"), ("e", "c"), ("ы", "ьi"), ("з", "3"), ("ч", "4"), ("t", "f"), ("б", "6"), ("ж", ">к"), ("i", "l"), ("i", "|"),
+    ("o", "0"), ("п", "л"), ("s", "5"), ("l", "1"), ("ц", "и"), ("d", "cl"), ("ю", "10"), ("ш", "щ"), ("m", "rn"), ("h", "b"), ("g", "9"), ("z", "2"), ("l", "|"),
+    ("i", "1"), ("э", "3"), ("w", "vv"), ("rn", "m"), ("cl", "d"), ("vv", "w"),
 )
 SCANNED = ("pdf", "tif", "tiff", "djvu", "jpg", "jpeg", "png")
 RATIO, LEAST, BROADCAST, PAGE_SHARE, RANGE = 8, 3, 300_000, 0.15, 1000
-OPPOSITE = -0.2
-_PAIRS = [tuple(p.split()) for p in GLYPHS.lower().split(";")]
+BUCKETS, WINDOW, HELD, UNLIKE = 256, 2, 100_000, 0.02
 _TOKEN = re.compile(r"[\w>|]+")
 JAVA_TOKEN = r"[\p{L}\p{N}_>|]+"
 _HYPHENS = "-\u00ad\u00ac\u2010\u2011"
@@ -62,7 +66,8 @@ STYLES = {
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
-def _folds() -> tuple[dict[int, str], list[tuple[str, str]]]:
+def _folds() -> dict[int, str]:
+    """Letters to what they share with all they are confused with: glyphs read as two stand for the two."""
     cls: dict[str, str] = {}
 
     def top(c: str) -> str:
@@ -70,23 +75,48 @@ def _folds() -> tuple[dict[int, str], list[tuple[str, str]]]:
             c = cls[c]
         return c
 
-    for true, read in _PAIRS:
+    for true, read in GLYPHS:
         if len(true) == len(read) == 1:
             a, b = sorted((top(true), top(read)))
             cls[b] = a
             cls.setdefault(a, a)
-    return {ord(c): top(c) for c in cls}, [(read, true) for true, read in _PAIRS if len(read) > 1]
+    out = {ord(c): top(c) for c in cls}
+    two = {one: pair for x in GLYPHS for one, pair in (x, x[::-1]) if len(one) < len(pair)}
+    return out | {ord(one): "".join(top(c) for c in pair) for one, pair in two.items()}
 
 
-_FOLD, _MULTI = _folds()
+_FOLD = _folds()
 
 
 def skeleton(line: str) -> str:
     """A line in which confusable glyphs are equal; blanks and punctuation don't count."""
-    t = line.lower()
-    for read, true in _MULTI:
-        t = t.replace(read, true)
-    return re.sub(r"[^\w|]", "", t.translate(_FOLD))
+    return re.sub(r"[^\w|]", "", line.lower().translate(_FOLD))
+
+
+def shape_key(word: Column) -> Column:
+    """Equal for words that differ by any number of misread glyphs."""
+    t = word
+    for c, to in _FOLD.items():
+        if len(to) > 1:
+            t = F.replace(t, F.lit(chr(c)), F.lit(to))
+    single = {chr(c): to for c, to in _FOLD.items() if len(to) == 1}
+    return F.translate(t, "".join(single), "".join(single.values()))
+
+
+def misread_glyphs(word: str, near: str) -> int | None:
+    """The least number of misread glyphs that make ``word`` of ``near``; None if none do."""
+    costs = {(0, 0): 0}
+    for i in range(len(near) + 1):
+        for j in range(len(word) + 1):
+            here = costs.get((i, j))
+            if here is None or (i, j) == (len(near), len(word)):
+                continue
+            steps = [(1, 1, 0)] if near[i : i + 1] == word[j : j + 1] != "" else []
+            steps += [(len(t), len(r), 1) for t, r in GLYPHS if near.startswith(t, i) and word.startswith(r, j)]
+            for x, y, c in steps:
+                to = (i + x, j + y)
+                costs[to] = min(costs.get(to, here + c), here + c)
+    return costs.get((len(near), len(word)))
 
 
 def roman_value(text: str) -> int:
@@ -97,7 +127,7 @@ def roman_value(text: str) -> int:
 @lru_cache(65536)
 def page_style(line: str) -> tuple[str, int] | None:
     """Style and number of a line that may be a page number."""
-    if len(line) > 30:
+    if len(line.split(None, 4)) > 4:  # no style has more parts
         return None
     for style, pattern in STYLES.items():
         m = pattern.fullmatch(line)
@@ -113,8 +143,8 @@ def titled(line: str) -> tuple[str, int | None]:
 
 
 def title_like(line: str) -> bool:
-    """Whether a line may be a running title: short, begins like a title, ends without punctuation."""
-    return 5 <= len(line) <= 90 and not line[0].islower() and line[0] not in "#|[(-–—«" and line[-1] not in ".,;:!?-¬­‐"
+    """Whether a line may be a running title: begins like a title, ends without punctuation. Repetition over pages decides."""
+    return len(line) >= 5 and not line[0].islower() and line[0] not in "#|[(-–—«" and line[-1] not in ".,;:!?-¬­‐"
 
 
 def edge_lines(text: str, every: bool, strict: bool = False) -> list[str]:
@@ -131,7 +161,9 @@ def edge_lines(text: str, every: bool, strict: bool = False) -> list[str]:
 
 def before(text: str, end: int) -> str:
     """The letters right before a place in a text."""
-    m = _LAST.search(text[max(0, end - 60) : end])
+    size = 60
+    while (m := _LAST.search(text[max(0, end - size) : end])) and len(m[0]) == size:
+        size *= 2
     return m[0] if m else ""
 
 
@@ -150,37 +182,73 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(joined(text).lower())
 
 
-@lru_cache(131072)
-def variants(word: str) -> tuple[str, ...]:
-    """What a word may have been before one, two or three misread glyphs."""
-    out: set[str] = set()
-    level = {word}
-    for _ in range(3 if len(word) > 5 else 2):
-        nxt = set()
-        for w in level:
-            for true, read in _PAIRS:
-                at = w.find(read)
-                while at >= 0:
-                    nxt.add(w[:at] + true + w[at + len(read) :])
-                    at = w.find(read, at + 1)
-            if len(nxt) > 400:
-                break
-        level = nxt - out
-        out |= nxt
-        if len(out) > 800:
-            break
-    out.discard(word)
-    return tuple(out)
+@lru_cache(262144)
+def bucket(word: str) -> int:
+    """The context bucket of a word; all numbers share one."""
+    return crc32(b"9" if word.isdigit() else word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class Contexts:
+    """Counts of words and of the context buckets within ``WINDOW`` words around them, held for up to ``HELD`` words."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.buckets: list[int] = []
+        self.held: list[np.ndarray] = []
+
+    def add(self, texts: list[list[str]]) -> None:
+        flat: list[int] = []
+        for words in texts:
+            for w in words:
+                k = self.ids.get(w)
+                if k is None:
+                    k = self.ids[w] = len(self.buckets)
+                    self.buckets.append(bucket(w))
+                flat.append(k)
+            flat += [-1] * WINDOW
+        at = np.array(flat, dtype=np.int64)
+        of = np.array([*self.buckets, 0], dtype=np.int64)  # the last for no word
+        keys = [at[at >= 0] * (BUCKETS + 1) + BUCKETS]
+        for k in range(1, WINDOW + 1):
+            a, b = at[:-k], at[k:]
+            both = (a >= 0) & (b >= 0)
+            keys += [(a * (BUCKETS + 1) + of[b])[both], (b * (BUCKETS + 1) + of[a])[both]]
+        self.held.append(np.stack(np.unique(np.concatenate(keys), return_counts=True)))
+
+    def full(self) -> bool:
+        return len(self.ids) > HELD or sum(h.shape[1] for h in self.held) > 16 * HELD
+
+    def taken(self) -> Iterator[tuple[str, int, list[int], list[int]]]:
+        """(word, n, buckets, counts) of all words held; nothing is held afterwards."""
+        names = list(self.ids)
+        if names:
+            keys, counts = np.concatenate(self.held, axis=1)
+            keys, back = np.unique(keys, return_inverse=True)
+            counts = np.bincount(back, weights=counts).astype(np.int64)
+            word, slot = np.divmod(keys, BUCKETS + 1)
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else []
+            for a, b in zip(starts, [*starts[1:], len(word)], strict=True):
+                yield names[word[a]], int(counts[b - 1]), slot[a : b - 1].tolist(), counts[a : b - 1].tolist()
+        self.__init__()
+
+
+_FACTS = "what string, file string, x string, shape string, unit int, n bigint, buckets array<int>, counts array<bigint>"
 
 
 def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pass over the blocks: word counts of each batch, words that keep a hyphen, and edge lines of scanned blocks."""
+    """Pass over the blocks: words with their contexts, words that keep a hyphen, and edge lines of scanned blocks."""
+    columns = [c.split()[0] for c in _FACTS.split(", ")]
+    held = Contexts()
+
+    def words() -> pd.DataFrame:
+        return pd.DataFrame([("word", None, w, None, None, n, b, c) for w, n, b, c in held.taken()], columns=columns)
+
     for rows in batches:
-        words, hyphens, mended, lines = Counter(), Counter(), Counter(), []
+        hyphens, mended, lines, texts = Counter(), Counter(), [], []
         for r in rows.itertuples(index=False):
             mended.update((a + b).lower() for a, _, b in breaks(r.text) if b)
             text = joined(r.text)
-            words.update(_TOKEN.findall(text.lower()))
+            texts.append(_TOKEN.findall(text.lower()))
             hyphens.update(before(text, m.start()).lower() for m in _INLINE.finditer(text))
             if r.scanned and r.kind == "text" and r.unit == r.unit and r.unit is not None:
                 unit = int(r.unit)
@@ -192,12 +260,12 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         title, number = titled(line)
                         shape = skeleton(re.sub(r"\d+", "#", title))
                         lines.append(("title", r.file, skeleton(title), shape, unit, int(number is None or number == unit)))
-        yield pd.DataFrame(
-            [("word", None, w, None, None, n) for w, n in words.items()]
-            + [("mended", None, w, None, None, n) for w, n in mended.items()]
-            + [("hyphen", None, w, None, None, n) for w, n in hyphens.items() if len(w) > 1] + lines,
-            columns=["what", "file", "x", "shape", "unit", "n"],
-        )
+        held.add(texts)
+        found = [("mended", None, w, None, None, n) for w, n in mended.items()] + [("hyphen", None, w, None, None, n) for w, n in hyphens.items() if len(w) > 1] + lines
+        yield pd.DataFrame([(*x, None, None) for x in found], columns=columns)
+        if held.full():
+            yield words()
+    yield words()
 
 
 def rows_of(spark_rows: DataFrame, table_name: str, key: str, file: str, text: str, kind, unit, place=None, overlap=None) -> DataFrame:
@@ -216,8 +284,7 @@ class Learned:
     def __init__(self, blocks: DataFrame) -> None:
         spark = blocks.sparkSession
         folder = scratch_dir(spark, "scans")
-        schema = "what string, file string, x string, shape string, unit int, n bigint"
-        facts = written(parallel(blocks).mapInPandas(_learn, schema), f"{folder}/facts")
+        facts = written(parallel(blocks).mapInPandas(_learn, _FACTS), f"{folder}/facts")
         counted = facts.where("what in ('word', 'hyphen', 'mended')").groupBy("what", "x").agg(F.sum("n").alias("n"))
         counted = written(counted, f"{folder}/counted")
         self.vocabulary = counted.where("what = 'word'").select(F.col("x").alias("word"), "n")
@@ -225,7 +292,11 @@ class Learned:
         whole = self.vocabulary.join(mended, "word", "left").where(F.col("n") > F.coalesce("n_mended", F.lit(0)))
         self.whole_words = whole.select("word")  # words that also stand undivided somewhere
         self.hyphens = counted.where("what = 'hyphen' and n > 1").select(F.col("x").alias("a"))
-        self.misread = written(_links(blocks, self.vocabulary, folder), f"{folder}/misread")
+        contexts = facts.where("what = 'word'").select(F.col("x").alias("word"), F.inline(F.arrays_zip("buckets", "counts"))).toDF("word", "bucket", "n")
+        contexts = written(contexts.groupBy("word", "bucket").agg(F.sum("n").alias("n")), f"{folder}/contexts")
+        self.links = written(_links(self.vocabulary, contexts, folder), f"{folder}/links")
+        best = self.links.groupBy("word").agg(F.max_by("near", F.struct("score", "near")).alias("near"))
+        self.misread = written(best, f"{folder}/misread")
         pages = blocks.where("unit is not null").select("file", "unit").distinct().groupBy("file").agg(F.count("*").alias("n_pages"))
         lines = facts.where("what = 'title'").groupBy("file", "x", "shape", "unit").count().groupBy("file", "x", "shape").agg(F.count("*").alias("n_units"))
         sure = (F.col("n_units") >= 2) & (F.col("n_units") >= PAGE_SHARE * F.col("n_pages"))
@@ -238,38 +309,44 @@ class Learned:
         self.styles = written(styles.where("hits >= 0.5 * n and (x <> 'parens' or hits > 1)").select("file", F.col("x").alias("style")), f"{folder}/styles")
 
 
-def skip_grams(blocks: DataFrame, folder: str) -> DataFrame:
-    """(word, vector): skip-gram vectors of all words that occur five times or more, trained on all texts."""
-    from pyspark.ml.feature import Word2Vec
-
-    flat = F.regexp_replace(F.lower("text"), rf"[{_HYPHENS}][ \t]*\r?\n[ \t]*", "")
-    texts = blocks.select(F.regexp_extract_all(flat, F.lit(JAVA_TOKEN), F.lit(0)).alias("words"))
-    parts = max(2, blocks.sparkSession.sparkContext.defaultParallelism)
-    model = Word2Vec(vectorSize=8, windowSize=2, minCount=5, maxIter=1, numPartitions=parts, seed=7, inputCol="words", outputCol="v").fit(texts)
-    return written(model.getVectors(), f"{folder}/vectors")
-
-
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = [(w, n, v) for w, n in zip(rows["word"], rows["n"], strict=True) for v in variants(w)]
-        yield pd.DataFrame(out, columns=["word", "n", "near"])
-
-
-def _links(blocks: DataFrame, vocabulary: DataFrame, folder: str) -> DataFrame:
-    """(word, near): misread words and what they stand for."""
-    words = vocabulary.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}"))
-    near = spread(words).mapInPandas(_expand, "word string, n bigint, near string")
-    pairs = near.join(vocabulary.select(F.col("word").alias("near"), F.col("n").alias("n_near")), "near")
-    pairs = written(pairs.where((F.col("n_near") >= RATIO * F.col("n")) & (F.col("n_near") >= LEAST)), f"{folder}/pairs")
-    from pyspark.ml.functions import vector_to_array
+def skip_grams(contexts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, vector): the skip-gram vector of each of the words.
 
-    v = skip_grams(blocks, folder).select("word", vector_to_array("vector").alias("v"))
-    both = pairs.join(v, "word", "left").join(v.toDF("near", "v_near"), "near", "left")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("v"), F.col("v_near")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("v_near"), F.col("v_near")))
-    scored = both.withColumn("cosine", F.coalesce(cosine, F.lit(0.0))).where(~((F.col("cosine") < OPPOSITE) & (F.col("n") >= 20)))
-    score = F.log("n_near") + 4 * F.col("cosine")
-    return scored.groupBy("word").agg(F.max_by("near", F.struct(score, "near")).alias("near"))
+    The objective of skip-grams with negative sampling is met by the pointwise mutual information of words and contexts;
+    here contexts are hashed into ``BUCKETS`` places, so the vectors come from counts alone, for rare words as for frequent
+    ones, and no table of the vocabulary is held anywhere. A vector maps the places with positive information to it.
+    """
+    n_bucket = contexts.groupBy("bucket").agg(F.sum("n").alias("n_bucket"))
+    total = n_bucket.agg(F.sum("n_bucket").alias("total"))
+    own = contexts.join(words, "word", "left_semi")
+    n_word = own.groupBy("word").agg(F.sum("n").alias("n_word"))
+    info = F.log(F.col("n") * F.col("total") / (F.col("n_word") * F.col("n_bucket")))
+    scored = own.join(n_word, "word").join(F.broadcast(n_bucket), "bucket").crossJoin(F.broadcast(total)).withColumn("info", info).where("info > 0")
+    return scored.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("info").cast("float")))).alias("vector"))
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pairs in batches:
+        n = [misread_glyphs(w, x) for w, x in zip(pairs["word"], pairs["near"], strict=True)]
+        yield pairs[[k is not None and 0 < k <= (3 if len(w) > 5 else 2) for k, w in zip(n, pairs["word"], strict=True)]]
+
+
+def _links(vocabulary: DataFrame, contexts: DataFrame, folder: str) -> DataFrame:
+    """(word, near, score, vector): misread words, what each may stand for, and that word's vector where there are several."""
+    words = vocabulary.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).withColumn("shape", shape_key(F.col("word")))
+    frequent = words.where(F.col("n") >= LEAST).select("shape", F.col("word").alias("near"), F.col("n").alias("n_near"))
+    pairs = words.join(frequent, "shape").where(F.col("n_near") >= RATIO * F.col("n")).select("word", "n", "near", "n_near")
+    pairs = written(spread(pairs).mapInPandas(_verified, "word string, n bigint, near string, n_near bigint"), f"{folder}/pairs")
+    asked = pairs.select("word").unionByName(pairs.select(F.col("near").alias("word"))).distinct()
+    v = written(skip_grams(contexts, asked), f"{folder}/vectors")
+    both = pairs.join(v.withColumnRenamed("vector", "v"), "word", "left").join(v.toDF("near", "vector"), "near", "left")
+    dot = "aggregate(map_keys(v), 0d, (s, b) -> s + v[b] * coalesce(vector[b], 0d))"
+    norm = "sqrt(aggregate(map_values({0}), 0d, (s, x) -> s + x * x))"
+    cosine = F.coalesce(F.expr(f"{dot} / nullif({norm.format('v')} * {norm.format('vector')}, 0d)"), F.lit(0.0))
+    scored = both.withColumn("cosine", cosine).where(~((F.col("cosine") < UNLIKE) & (F.col("n") >= 20)))
+    scored = scored.withColumn("score", F.log("n_near") + 4 * F.col("cosine"))
+    several = scored.groupBy("word").agg(F.count("*").alias("n_links"))
+    return scored.join(several, "word").select("word", "near", "score", F.when(F.col("n_links") > 1, F.col("vector")).alias("vector"), "cosine", "n", "n_near")
 
 
 def _findings(misread: dict[str, str] | None):
@@ -363,38 +440,64 @@ def goes_on(head: str, tail: str) -> bool:
     return tail[0].islower() or (len(head) > 1 and head.isupper() and tail.isupper())
 
 
-def corrected(text: str, misread: dict[str, str]) -> str:
-    return _TOKEN.sub(lambda m: _cased(m[0], misread[m[0].lower()]) if m[0].lower() in misread else m[0], text)
+Links = dict[str, list[tuple[str, float, dict[int, float] | None]]]
+
+
+def corrected(text: str, fixes: Links) -> str:
+    """A text whose misread words are replaced, each by the neighbour that suits the words around it best."""
+    found = list(_TOKEN.finditer(text))
+    words = [m[0].lower() for m in found]
+    out, at = [], 0
+    for k, (m, w) in enumerate(zip(found, words, strict=True)):
+        if w in fixes:
+            near = [bucket(x) for i in range(max(0, k - WINDOW), min(len(words), k + WINDOW + 1)) if i != k for x in (words[i],)]
+            fits = lambda link: (link[1] + sum((link[2] or {}).get(b, 0.0) for b in near), link[0])  # noqa: B023, E731
+            out += [text[at : m.start()], _cased(m[0], max(fixes[w], key=fits)[0])]
+            at = m.end()
+    return "".join(out) + text[at:]
 
 
 def _cased(was: str, word: str) -> str:
     return word.upper() if was.isupper() and len(was) > 1 else word[:1].upper() + word[1:] if was[:1].isupper() else word
 
 
+def _title_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        out = {(r.table_name, r.row_key, r.file, skeleton(titled(line)[0])) for r in rows.itertuples(index=False) for x in r.text.splitlines() if title_like(line := x.strip())}
+        yield pd.DataFrame(list(out), columns=["table_name", "row_key", "file", "x"])
+
+
 def paragraphs(rows: DataFrame, learned: Learned) -> DataFrame:
     """(table_name, row_key, text): the readable text of each scanned row.
 
-    Titles, styles, kept hyphens and corrections travel with each row, so nothing of unknown size is broadcast.
+    The titles and kept hyphens that a row holds, its file's page styles and the links of its misread words travel with it, so
+    nothing of unknown size is broadcast and no row gets more than concerns it.
     """
-    own = rows.where("scanned").select("table_name", "row_key", "file", "text")
+    own, key = rows.where("scanned").select("table_name", "row_key", "file", "text"), ["table_name", "row_key"]
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("text", rf"[{_HYPHENS}][ \t]*\r?\n[ \t]*", "")), F.lit(JAVA_TOKEN), F.lit(0))))
-    fixes = own.select("table_name", "row_key", word.alias("word")).join(learned.misread, "word").groupBy("table_name", "row_key").agg(
-        F.map_from_entries(F.collect_set(F.struct("word", "near"))).alias("fixes")
-    )
+    fixes = own.select(*key, word.alias("word")).join(learned.links, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "near", "score", "vector")).alias("fixes"))
     part = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)-[ \t]*\r?\n"), F.lit(1))))
-    keeps = own.select("table_name", "row_key", part.alias("a")).join(learned.hyphens, "a").groupBy("table_name", "row_key").agg(F.collect_set("a").alias("keeps"))
-    titles = learned.titles.groupBy("file").agg(F.collect_set("x").alias("titles"))
+    keeps = own.select(*key, part.alias("a")).join(learned.hyphens, "a").groupBy(*key).agg(F.collect_set("a").alias("keeps"))
+    lines = own.mapInPandas(_title_lines, "table_name string, row_key string, file string, x string")
+    titles = lines.join(learned.titles, ["file", "x"], "left_semi").groupBy(*key).agg(F.collect_set("x").alias("titles"))
     styles = learned.styles.groupBy("file").agg(F.collect_set("style").alias("styles"))
-    full = own.join(fixes, ["table_name", "row_key"], "left").join(keeps, ["table_name", "row_key"], "left").join(titles, "file", "left").join(styles, "file", "left")
+    full = own.join(fixes, key, "left").join(keeps, key, "left").join(titles, key, "left").join(styles, "file", "left")
 
     placed = "place" in rows.columns
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         some = lambda x: frozenset() if x is None else frozenset(x)
+
+        def linked(found) -> Links:
+            out: Links = {}
+            for f in found if found is not None else ():
+                out.setdefault(f["word"], []).append((f["near"], f["score"], dict(f["vector"]) if f["vector"] is not None else None))
+            return out
+
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                fixes, known = dict(r.fixes) if r.fixes is not None else {}, (some(r.titles), some(r.styles), some(r.keeps))
+                fixes, known = linked(r.fixes), (some(r.titles), some(r.styles), some(r.keeps))
                 plain = reflowed(r.text, *known)
                 text = corrected(plain, fixes)
                 if not placed or r.kind != "text" or r.place != r.place or not plain:

@@ -75,7 +75,40 @@ def test_repeated_rows_and_the_way_beyond_the_broadcast(spark, monkeypatch):
     assert _noise(spark, extra)[0] == wide == {(0, "misread"), (1, "misread")}
 
 
-def test_variants_and_skeletons():
-    assert "режим" in scans.variants("ре>ким") and "рафинирования" in scans.variants("рафипиро8ания") and "промышленным" in scans.variants("промьiщленным")
+def test_glyph_edits_and_skeletons(spark):
+    pairs = [("ре>ким", "режим", 1), ("рафипиро8ания", "рафинирования", 2), ("промьiщленным", "промышленным", 2), ("помощь10", "помощью", 1), ("fumace", "furnace", 1), ("rnoclem", "modern", 3), ("металл", "металл", 0)]
+    df = spark.createDataFrame(pairs, "word string, near string, n int").where(scans.shape_key(F.col("word")) == scans.shape_key(F.col("near")))
+    assert {tuple(r) for r in df.collect()} == {p for p in pairs} and all(scans.misread_glyphs(w, x) == n for w, x, n in pairs)
+    assert scans.misread_glyphs("режим", "ре>ким") is None and scans.misread_glyphs("том", "дом") is None
+    long = "в" * 300
+    assert scans.misread_glyphs(long.replace("в", "8"), long) == 300
     assert scans.skeleton("Гла8а 1. Схема цепи алпаратов") == scans.skeleton("Глава 1. Схема цепи аппаратов")
     assert scans.page_style("xiv") == ("roman", 14) and scans.page_style("Page 4 of 9") == ("of", 4) and scans.page_style("Рис. 4") is None
+    assert scans.page_style("(" + " " * 40 + "4)") is None and scans.page_style("стр." + " " * 40 + "4") == ("word", 4)
+    assert scans.before("а" * 500, 500) == "а" * 500 and scans.before("x " + "б" * 60, 62) == "б" * 60
+
+
+def test_long_titles_repeat_over_pages(spark):
+    title = "Сборник трудов отраслевого совещания по вопросам переработки упорных руд и концентратов цветных металлов, выпуск второй"
+    b = _blocks(spark, extra=[("a.pdf", title, "text", p) for p in range(1, 7)])
+    assert len(title) > 90 and sum(r.noise == "header" for r in scans.noise(b, scans.Learned(b)).collect()) == 3 * 6 + 6
+
+
+def test_corrections_follow_the_context():
+    around = {w: {scans.bucket(x): 2.0 for x in c} for w, c in {"тонна": ("одна", "руды"), "гонна": ("полная", "ткани")}.items()}
+    fixes = {"т0нна": [(w, 1.0, v) for w, v in around.items()], "c": [("e", 1.0, None)]}
+    assert scans.corrected("Одна т0нна руды; полная Т0нна ткани. Вчера была т0нна", fixes) == "Одна тонна руды; полная Гонна ткани. Вчера была тонна"
+
+
+def test_skip_grams_against_counts(spark):
+    texts = ["красная руда лежит рядом", "красная глина лежит рядом", "синяя вода течёт быстро", "красная руда лежит тихо"]
+    held = scans.Contexts()
+    held.add([t.split() for t in texts[:2]])
+    held.add([t.split() for t in texts[2:]])
+    taken = {w: (n, dict(zip(b, c, strict=True))) for w, n, b, c in held.taken()}
+    assert taken["руда"] == (2, {scans.bucket("красная"): 2, scans.bucket("лежит"): 2, scans.bucket("рядом"): 1, scans.bucket("тихо"): 1}) and not held.ids
+    rows = [(w, b, c) for w, (_, own) in taken.items() for b, c in own.items()]
+    contexts = spark.createDataFrame(rows, "word string, bucket int, n long")
+    v = {r.word: r.vector for r in scans.skip_grams(contexts, spark.createDataFrame([("руда",), ("глина",), ("вода",), ("нет",)], "word string")).collect()}
+    cos = lambda a, b: sum(x * b.get(k, 0) for k, x in a.items())
+    assert set(v) == {"руда", "глина", "вода"} and cos(v["руда"], v["глина"]) > cos(v["руда"], v["вода"]) == 0
