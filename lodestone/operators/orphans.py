@@ -4,7 +4,7 @@ The state is two logs, both keyed by (parent scope, parent id). ``advance`` take
 log only what the period's keys change, so a period writes in proportion to its own keys; the row of the latest version holds:
 
 * the parent index: rows ever seen, rows still valid, and when the first still valid row arrived;
-* the references: what each of them found (``reason`` null: its parent was there in time), and what it had found before.
+* the references: what each of them found, as a code, and what it had found before.
 
 New references probe the index; a parent that arrives settles the waiting references of its key (they stay on record as
 'late'); a deletion reopens those that relied on it. Only the keys that the period touches are evaluated again. Counts at the
@@ -29,6 +29,7 @@ from lodestone.functions.text import strip
 from lodestone.session import scratch_dir, written
 
 KEY = ["scope", "parent_id"]
+REF_KEY = ["ref_id", "slot", *KEY, "made_at"]
 
 
 @dataclass(frozen=True)
@@ -67,13 +68,19 @@ def _summary(parents: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def _probe(refs: DataFrame, index: DataFrame, *kept: str) -> DataFrame:
-    reason = (
-        F.when(F.col("n_rows").isNull(), "missing")
-        .when(F.col("n_valid") == 0, "deleted")
-        .when(F.col("first_valid_at") > F.col("made_at"), "late")
+REASONS = ["missing", "deleted", "late"]  # by code, from 1; 0 is a reference whose parent was there in time
+
+
+def _probe(refs: DataFrame, index: DataFrame) -> DataFrame:
+    """The references with the code of what they find."""
+    code = (
+        F.when(F.col("n_rows").isNull(), 1).when(F.col("n_valid") == 0, 2).when(F.col("first_valid_at") > F.col("made_at"), 3).otherwise(0)
     )
-    return refs.join(index, KEY, "left").select("ref_id", "slot", *KEY, "made_at", reason.alias("reason"), *kept)
+    return refs.join(index, KEY, "left").select(*refs.columns, code.alias("code"))
+
+
+def _reason(code: Column) -> Column:
+    return F.when(code == 1, REASONS[0]).when(code == 2, REASONS[1]).when(code == 3, REASONS[2])
 
 
 def _within(col: str, lo, hi) -> Column:
@@ -85,10 +92,16 @@ def _within(col: str, lo, hi) -> Column:
     return (c.isNull() | test) if lo is None else test
 
 
-def _latest(log: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of the latest version."""
-    rest = [c for c in log.columns if c not in (*keys, "version")]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("x")).select(*keys, "x.*")
+def _latest_index(log: DataFrame) -> DataFrame:
+    """The index rows of the latest version."""
+    rest = ["n_rows", "n_valid", "first_valid_at"]
+    return log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "version").alias("x")).select(*KEY, "x.*")
+
+
+def _latest_codes(log: DataFrame) -> DataFrame:
+    """The references with the code of the latest version; version and code travel as one number, so it is a hash aggregate."""
+    packed = F.max(F.col("version").cast("bigint") * 4 + F.col("code")).alias("packed")
+    return log.groupBy(*REF_KEY).agg(packed).select(*REF_KEY, (F.col("packed") % 4).cast("int").alias("code"))
 
 
 def advance(state: OrphanState | None, parents: DataFrame, refs: DataFrame, lo, hi, folder: str) -> OrphanState:
@@ -100,30 +113,27 @@ def advance(state: OrphanState | None, parents: DataFrame, refs: DataFrame, lo,
     now = F.lit(hi).cast("timestamp_ntz") if hi is not None else F.lit("9999-12-31").cast("timestamp_ntz")
     version = 0 if state is None else state.version + 1
     marked = lambda df, name: written(df.withColumn("version", F.lit(version)), f"{folder}/{name}")
-    new_refs = refs.where(_within("made_at", lo, hi)).distinct()
+    new_refs = refs.where(_within("made_at", lo, hi)).distinct().select(*REF_KEY, F.lit(None).cast("int").alias("was"))
     delta = _summary(parents.where(_within("arrived_at", lo, hi)), now)
-    unknown = F.lit(None).cast("string")
     if state is None:
         index = marked(delta, "index")
-        return OrphanState(index, marked(_probe(new_refs, index).withColumn("was", unknown).withColumn("is_new", F.lit(True)), "references"))
+        return OrphanState(index, marked(_probe(new_refs, index), "references"))
     gone = _within("deleted_at", lo, hi) & F.col("deleted_at").isNotNull() & (F.col("arrived_at").isNull() | (F.col("arrived_at") < F.lit(lo)))
     reopened = written(parents.where(gone).select(*KEY).distinct(), f"{folder}/reopened")
     recount = _summary(parents.where(_within("arrived_at", None, hi)).join(reopened, KEY, "left_semi"), now)
     arrived = written(delta.join(reopened, KEY, "left_anti"), f"{folder}/arrived")
-    known = _latest(state.index.join(arrived, KEY, "left_semi"), KEY)
+    known = _latest_index(state.index.join(arrived, KEY, "left_semi"))
     merged = known.unionByName(arrived).groupBy(*KEY).agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_valid").alias("n_valid"), F.min("first_valid_at").alias("first_valid_at")
     )
     changed = marked(merged.unionByName(recount), "index")
-    index = state.index.unionByName(changed)
-    ref_key = ["ref_id", "slot", *KEY, "made_at"]
-    again = _latest(state.references.join(changed.select(*KEY), KEY, "left_semi").select(*ref_key, "reason", "version"), ref_key)
-    asked = again.select(*ref_key, F.col("reason").alias("was"), F.lit(False).alias("is_new")).unionByName(
-        new_refs.select(*ref_key, unknown.alias("was"), F.lit(True).alias("is_new"))
-    )
-    probed = _probe(asked, _latest(index.join(asked.select(*KEY).distinct(), KEY, "left_semi"), KEY), "was", "is_new")
-    found = marked(probed.where(~F.col("reason").eqNullSafe(F.col("was")) | F.col("is_new")), "references")
-    return OrphanState(index, state.references.unionByName(found), version)
+    keys = changed.select(*KEY)
+    again = _latest_codes(state.references.join(keys, KEY, "left_semi")).withColumnRenamed("code", "was")
+    touched = _probe(again.unionByName(new_refs.join(keys, KEY, "left_semi")), changed).where(~F.col("code").eqNullSafe(F.col("was")))
+    others = new_refs.join(keys, KEY, "left_anti")  # nothing happened to their keys in this period
+    before = _latest_index(state.index.join(others.select(*KEY).distinct(), KEY, "left_semi"))
+    found = marked(touched.unionByName(_probe(others, before)), "references")
+    return OrphanState(state.index.unionByName(changed), state.references.unionByName(found), version)
 
 
 def period_bounds(parents: DataFrame, refs: DataFrame, period: str) -> list:
@@ -144,7 +154,7 @@ def replay(parents: DataFrame, refs: DataFrame, period: str = "year"):
 
 def references_now(state: OrphanState) -> DataFrame:
     """(ref_id, slot, scope, parent_id, made_at, reason) of every reference, as last evaluated."""
-    return _latest(state.references.drop("was", "is_new"), ["ref_id", "slot", *KEY, "made_at"])
+    return _latest_codes(state.references).select(*REF_KEY, _reason(F.col("code")).alias("reason"))
 
 
 def orphans(parents: DataFrame, refs: DataFrame, period: str = "year") -> DataFrame:
@@ -159,11 +169,10 @@ def snapshots(parents: DataFrame, refs: DataFrame, period: str = "quarter") -> D
     ends = []
     for hi, state in replay(parents, refs, period):
         ends.append(hi)
-    shown = lambda c: F.coalesce(c, F.lit("found")).alias("reason")
     log = state.references
-    change = log.select("version", "slot", shown("reason"), F.lit(1).alias("n")).unionByName(
-        log.where(~F.col("is_new")).select("version", "slot", shown("was"), F.lit(-1).alias("n"))
-    ).groupBy("version", "slot", "reason").agg(F.sum("n").alias("n"))
+    change = log.select("version", "slot", "code", F.lit(1).alias("n")).unionByName(
+        log.where("was is not null").select("version", "slot", F.col("was").alias("code"), F.lit(-1).alias("n"))
+    ).groupBy("version", "slot", "code").agg(F.sum("n").alias("n"))
     periods = parents.sparkSession.createDataFrame(list(enumerate(ends)), "known int, known_until timestamp_ntz")
-    out = periods.join(F.broadcast(change), F.col("version") <= F.col("known")).groupBy("known", "known_until", "slot", "reason").agg(F.sum("n").alias("n"))
-    return out.where("n > 0").select("known_until", "slot", "reason", "n")
+    out = periods.join(F.broadcast(change), F.col("version") <= F.col("known")).groupBy("known", "known_until", "slot", "code").agg(F.sum("n").alias("n"))
+    return out.where("n > 0").select("known_until", "slot", F.coalesce(_reason(F.col("code")), F.lit("found")).alias("reason"), "n")
