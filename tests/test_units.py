@@ -71,3 +71,19 @@ def test_viterbi_follows_the_level():
     known = {"degc": ("temperature", 1.0, 0.0), "s": ("duration", 1 / 60, 0.0)}
     assert units.viterbi([(90.0, ["degc"]), (95.0, ["degc", "s"]), (92.0, ["degc"])], {"temperature": 0.5, "duration": 0.5}, known) == ["degc"] * 3
     assert units.viterbi([], {}, known) == []
+
+
+def test_switches_under_one_spelling_are_decoded_from_jumps(spark):
+    smooth = [40.0 + (k * 7) % 5 for k in range(40)]
+    recorded = [v / 1000 if 12 <= k < 24 else v for k, v in enumerate(smooth)]  # recorded in г/л while мг/л is written
+    rows = [(k, "d", "x", {"value": f"{v:.4f}", "unit": "мг/л"}, k, None, None) for k, v in enumerate(recorded)]
+    assert [v for _, _, v in _run(spark, rows)] == [str(round(v)) for v in smooth]
+    wild = [(k, "w", "x", {"value": f"{10 ** (k * 7 % 5 - 1)}", "unit": "мг/л"}, k, None, None) for k in range(40)]
+    assert [v for _, _, v in _run(spark, wild)] == [str(round(10 ** (k * 7 % 5 - 1))) for k in range(40)]
+    grown = [(k, "g", "x", {"value": "5" if k < 60 else "5000", "unit": "мг/л"}, k, None, None) for k in range(120)]
+    assert [v for _, _, v in _run(spark, grown)] == ["5"] * 60 + ["5000"] * 60
+
+
+def test_every_reference_unit_counts(spark):
+    ref = spark.createDataFrame([(f"unknown {k}", "q", "x", 1.0, 0.0) for k in range(20_000)] + REF, "unit_name string, quantity string, common_unit string, factor double, shift double")
+    assert len(units.unit_table(ref)) == len(REF)
