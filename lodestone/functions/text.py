@@ -29,3 +29,9 @@ def canonicalize(col: Column | str) -> Column:
     """Lower case, punctuation other than hyphens and underscores deleted, blanks collapsed; null becomes ''."""
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
     return collapse(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{N}_\s-]", ""))
+
+
+def mean(col: str, digits: int) -> Column:
+    """Rounded mean of a column, the same in whatever order the rows are added: each value counts in whole units of 1e-9."""
+    whole = F.round(F.col(col) * 1e9).cast("bigint")
+    return F.round(F.sum(whole) / F.count(whole) / 1e9, digits)

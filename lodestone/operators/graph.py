@@ -7,7 +7,7 @@ numbers alone come from walks counted for each (seed, node), which stay few howe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.entities import node_key
@@ -104,29 +104,10 @@ def seed_terms(tokens: Column) -> Column:
 
 
 def fuzzy_seeds(names: DataFrame, terms: DataFrame, k: int = 25) -> DataFrame:
-    """(query_id, name, score): node names with words that begin with terms, by the summed length of the terms.
+    """(query_id, name, score): the k best node names that contain terms (three letters and more), by the summed length of the terms.
 
-    Names are cut into their own prefixes' words, so that the join is by equality: a term matches where a word of the
-    name begins with it.
+    A term may stand anywhere in a name, also within a word or over a hyphen. Distinct names and distinct terms meet by equality in the term's first three letters before they are compared whole.
     """
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")
-    words = names.select("name", word).where("length(word) >= 3")
-    prefix = F.explode(F.transform(F.sequence(F.lit(3), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("term")
-    hits = words.select("name", prefix).distinct().join(terms, "term")
-    scored = hits.groupBy("query_id", "name").agg(F.sum(F.length("term")).alias("score"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
-
-
-def containing_seeds(names: DataFrame, terms: DataFrame, k: int = 25) -> DataFrame:
-    """(query_id, name, score) as fuzzy_seeds, with terms (three letters and more) anywhere in a name, also within a word or over a hyphen.
-
-    Distinct names and distinct terms meet by equality in the term's first three letters before they are compared whole.
-    """
-    from pyspark.sql import Window
-
     low = names.select("name").distinct().withColumn("low", F.lower("name")).where("length(low) >= 3")
     three = F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3)))
     asked = terms.where("length(term) >= 3").select("query_id", "term").distinct()
@@ -137,6 +118,13 @@ def containing_seeds(names: DataFrame, terms: DataFrame, k: int = 25) -> DataFra
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
+def seeded(names: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
+    """(query_id, node, found_by): nodes whose name is a question's phrase; for questions without any, those found by terms."""
+    hits = names.join(exact, F.lower("name") == F.col("exact")).select("query_id", "node", F.lit("exact").alias("found_by")).distinct()
+    others = fuzzy.join(hits.select("query_id").distinct(), "query_id", "left_anti").join(names, "name")
+    return hits.unionByName(others.select("query_id", "node", F.lit("terms").alias("found_by")).distinct())
+
+
 def by_names(nodes: DataFrame, names: list[str]) -> DataFrame:
     """Nodes whose name is on a list, whatever the case."""
     return nodes.where(F.lower("name").isin([n.lower() for n in names]))

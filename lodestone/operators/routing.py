@@ -35,15 +35,17 @@ GEO_COMPARISON = (
 )
 UNITS = "мг/л|мг/дм3|г/л|м3/ч|м3/сут|т/сут|кг/ч|квт|мвт|мм/сут|а/м2|а/дм3|ма/см2|%|°c|атм|мпа|па|об%|ppm|°"
 WORD = "[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9-]+"
-#: Domain stems with their labels (fixed values); the first stem that begins a word decides.
+# Domain stems with their labels; the first stem that begins a word decides.
 STEMS = (
-    "никел никель;мед медь;кобал кобальт;золот золото;серебр серебро;мпг МПГ;штейн штейн;шлак шлак;катод катод;анод анод;"
-    "электролит электролит;католит католит;анолит анолит;шихт шихта;руд руда;концентр концентрат;хвост хвосты;печ печь;ванн ванна;"
-    "флотомашин флотомашина;выщелачив выщелачивание;флотац флотация;электроэкстракц электроэкстракция;электролиз электролиз;очистк очистка;"
-    "обессерив обессеривание;обессолив обессоливание;осажден осаждение;пвп ПВП;автоклав автоклав;гидрометаллург гидрометаллургия;"
-    "пирометаллург пирометаллургия;катодн катодный;техногенн техногенный;гипс гипс;шахтн шахтная;вод вода;закач закачка;горизонт горизонт;"
-    "тэп ТЭП;рудничн рудничная;сульфат сульфат;хлорид хлорид;пропитк пропитка;кек кек;сер сера;so2 SO2;материал материал;"
-    "оборудован оборудование;эксперимент эксперимент;процесс процесс"
+    ("никел", "никель"), ("мед", "медь"), ("кобал", "кобальт"), ("золот", "золото"), ("серебр", "серебро"), ("мпг", "МПГ"), ("штейн", "штейн"),
+    ("шлак", "шлак"), ("катод", "катод"), ("анод", "анод"), ("электролит", "электролит"), ("католит", "католит"), ("анолит", "анолит"),
+    ("шихт", "шихта"), ("руд", "руда"), ("концентр", "концентрат"), ("хвост", "хвосты"), ("печ", "печь"), ("ванн", "ванна"),
+    ("флотомашин", "флотомашина"), ("выщелачив", "выщелачивание"), ("флотац", "флотация"), ("электроэкстракц", "электроэкстракция"),
+    ("электролиз", "электролиз"), ("очистк", "очистка"), ("обессерив", "обессеривание"), ("обессолив", "обессоливание"), ("осажден", "осаждение"),
+    ("пвп", "ПВП"), ("автоклав", "автоклав"), ("гидрометаллург", "гидрометаллургия"), ("пирометаллург", "пирометаллургия"), ("катодн", "катодный"),
+    ("техногенн", "техногенный"), ("гипс", "гипс"), ("шахтн", "шахтная"), ("вод", "вода"), ("закач", "закачка"), ("горизонт", "горизонт"),
+    ("тэп", "ТЭП"), ("рудничн", "рудничная"), ("сульфат", "сульфат"), ("хлорид", "хлорид"), ("пропитк", "пропитка"), ("кек", "кек"), ("сер", "сера"),
+    ("so2", "SO2"), ("материал", "материал"), ("оборудован", "оборудование"), ("эксперимент", "эксперимент"), ("процесс", "процесс"),
 )
 _LETTER = "[A-Za-zА-Яа-яЁё0-9_]"
 
@@ -96,8 +98,7 @@ def analyzed(questions: DataFrame, text: str) -> DataFrame:
 
 def stem_table(spark) -> DataFrame:
     """(stem, label, place) of the domain vocabulary; fixed size."""
-    pairs = [x.split(" ", 1) for x in STEMS.split(";")]
-    return spark.createDataFrame([(s, label, i) for i, (s, label) in enumerate(pairs)], "stem string, label string, place int")
+    return spark.createDataFrame([(s, label, i) for i, (s, label) in enumerate(STEMS)], "stem string, label string, place int")
 
 
 def seeds(questions: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -183,30 +184,47 @@ def _chain(pairs: list, last) -> Column:
     return out.otherwise(F.lit(last))
 
 
-# Cues of technical values and of relations in a chunk.
-TECHNICAL = r"[0-9]+(?:[.,][0-9]+)?\s*(?:%|°C|мг/л|г/л|мг/дм3|м3/ч|т/сут|кг/т|кг/ч|А/м2|мкм|МПа|кПа|мм|pH)"
-RELATION_CUES = "примен|использ|позволя|снижа|увелич|приводит|содерж|зависимост|улучш|обеспеч|used|increase|decrease|lowers|requires|depend"
+# Technical values and words of relations in a chunk.
+TECHNICAL = r"[0-9]+(?:[,.][0-9]+)?\s*(?:%|°C|г/л|мг/л|м3/ч|А/м2|pH)"
+RELATION_CUES = ("влияет", "повышает", "снижает", "использует", "получен", "проводили", "зависит", "подтвержден", "описан", "применяется", "заменяет")
 
 
 def extraction_route(chunks: DataFrame) -> DataFrame:
     """Adds the extraction route of a chunk from its text, its statistical entities (n_ner, ner_chars) and earlier model
     entities (n_llm, llm_confidence)."""
     n = F.length("text")
-    technical = F.regexp_count("text", F.lit(TECHNICAL)) / F.greatest(n, F.lit(1))
-    cues = F.regexp_count(F.lower("text"), F.lit(RELATION_CUES))
+    technical = F.regexp_count("text", F.lit("(?iu)" + TECHNICAL)) / F.greatest(n, F.lit(1))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    cues = F.size(F.filter(words, lambda w: w.isin(*RELATION_CUES)))
     c = F.col
     out = chunks.withColumns({"technical_density": F.round(technical, 6), "relation_cues": cues})
     dense = (c("technical_density") > 0.0015) | (c("relation_cues") >= 2)
     rules = [
         (F.trim("text") == "", ("skip", 1.0, "empty_chunk")),
-        ((n <= 350) & (c("relation_cues") == 0), ("statistical_only", 0.76, "short_low_relation_signal")),
-        (n >= 4500, ("ensemble", 0.82, "long_chunk_requires_model")),
-        (dense & (c("n_ner") > 0), ("ensemble", 0.84, "technical_or_relation_dense")),
-        (dense, ("model_only", 0.75, "technical_or_relation_dense")),
-        ((c("n_llm") > 0) & (c("llm_confidence") < 0.55), ("ensemble", 0.78, "low_model_confidence")),
-        ((c("n_ner") > 0) & (c("ner_chars") / F.greatest(n, F.lit(1)) < 0.003), ("model_only", 0.72, "sparse_statistical_coverage")),
-        ((c("n_ner") > 0) & (c("relation_cues") == 0), ("statistical_only", 0.70, "entity_only_chunk")),
+        ((n <= 350) & (c("relation_cues") == 0), ("natasha_only", 0.76, "short_low_relation_signal")),
+        (n >= 4500, ("ensemble", 0.82, "long_chunk_requires_llm_semantics")),
+        (dense & (c("n_ner") > 0), ("ensemble", 0.84, "technical_or_relation_dense;natasha_seeds_available")),
+        (dense, ("llm_only", 0.75, "technical_or_relation_dense")),
+        ((c("n_llm") > 0) & (c("llm_confidence") < 0.55), ("ensemble", 0.78, "low_llm_confidence_requires_ensemble")),
+        ((c("n_ner") > 0) & (c("ner_chars") / F.greatest(n, F.lit(1)) < 0.003), ("llm_only", 0.72, "sparse_natasha_coverage_requires_llm")),
+        ((c("n_ner") > 0) & (c("relation_cues") == 0), ("natasha_only", 0.70, "entity_only_chunk")),
     ]
     last = ("ensemble", 0.68, "default_semantic_extraction")
     pick = lambda k: _chain([(t, v[k]) for t, v in rules], last[k])
     return out.withColumns({"route": pick(0), "route_confidence": pick(1), "reason": pick(2)})
+
+
+def fallback_route(decided: DataFrame) -> DataFrame:
+    """Adds the route to take after an extraction that gave n_entities and n_relations of mean ``result_confidence``, and its reason
+    ('' where the first route stands)."""
+    c = F.col
+    rules = [
+        (c("route") == "skip", (None, None, "")),
+        ((c("n_entities") == 0) & (c("route") != "llm_only"), ("llm_only", 0.74, "no_entities_after_primary_route")),
+        ((c("n_entities") > 0) & (c("n_relations") == 0) & (c("route") == "natasha_only"), ("ensemble", 0.70, "entities_without_relations")),
+        ((c("result_confidence") < 0.55) & (c("route") != "ensemble"), ("ensemble", 0.73, "low_confidence_fallback")),
+    ]
+    pick = lambda k, last: F.coalesce(_chain([(t, v[k]) for t, v in rules], last), F.lit(last) if last is not None else F.lit(None))
+    return decided.withColumns({
+        "next_route": F.coalesce(pick(0, None), c("route")), "next_confidence": F.coalesce(pick(1, None), c("route_confidence")), "fallback_reason": pick(2, ""),
+    })

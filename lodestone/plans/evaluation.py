@@ -29,38 +29,19 @@ def _spans(spark, d):
     c = table(spark, d, "chunks").select(
         "chunk_id", F.col("provenance.source_document").alias("file"), F.col("provenance.char_start").alias("s"), F.col("provenance.char_end").alias("e")
     ).distinct()
-    gold = c.where("chunk_id like '%0'").select("file", F.col("chunk_id").alias("gold_id"), "s", "e")
-    return gold, c.withColumnRenamed("chunk_id", "span_id")
+    return c.withColumnRenamed("chunk_id", "gold_id"), c.withColumnRenamed("chunk_id", "span_id")
 
 
 def overlap_all(spark, d):
-    """A sample of gold spans (ids that end in 0), as in the SQL twin; overlap_all_full takes every chunk."""
     return V.overlaps(*_spans(spark, d))
 
 
 def overlap_match(spark, d):
-    """The same sample of gold spans; overlap_match_full takes every chunk."""
-    gold, spans = _spans(spark, d)
-    pairs = V.overlaps(gold, spans).where("gold_id <> span_id")
-    other = V.overlaps(gold, spans, least=0.05).where("gold_id <> span_id")
-    return V.best_overlap(other.unionByName(pairs).distinct())
-
-
-def _every_span(spark, d):
-    _, spans = _spans(spark, d)
-    return spans.withColumnRenamed("span_id", "gold_id"), spans
-
-
-def overlap_all_full(spark, d):
-    return V.overlaps(*_every_span(spark, d))
-
-
-def overlap_match_full(spark, d):
-    return V.best_overlap(V.overlaps(*_every_span(spark, d), least=0.05).where("gold_id <> span_id").distinct())
+    return V.best_overlap(V.overlaps(*_spans(spark, d), least=0.05).where("gold_id <> span_id").distinct())
 
 
 def fuzzy_doc_match(spark, d):
-    """Chunk titles' files against entity files by cleaned name: the first file in order whose name is equal or begins alike."""
+    """Chunk titles' files against entity files by cleaned name: the first file in order whose name is equal."""
     a = table(spark, d, "chunks").select(F.col("provenance.source_document").alias("file")).distinct()
     b = table(spark, d, "llm_relations").select(F.col("source_document").alias("other")).distinct()
     key = lambda df, c: df.withColumn("name", V.clean_name(c))
@@ -80,7 +61,7 @@ def golden_validate(spark, d):
     return V.golden_issues(s.withColumnRenamed("chunk_id", "sample_id"))
 
 
-QUERIES = {f.__name__: f for f in (prf_per_class, prf_micro_macro_weighted, overlap_all, overlap_match, overlap_all_full, overlap_match_full, fuzzy_doc_match, golden_validate)}
+QUERIES = {f.__name__: f for f in (prf_per_class, prf_micro_macro_weighted, overlap_all, overlap_match, fuzzy_doc_match, golden_validate)}
 
 _C = f"""{ENT}, k AS (SELECT DISTINCT chunk_id, type, {canon('name')} AS canon, extractor = 'chat_model_a' AS g FROM ent),
 u AS (SELECT chunk_id, type, canon, bool_or(g) AS g, bool_or(NOT g) AS p FROM k GROUP BY 1, 2, 3),
@@ -89,7 +70,7 @@ m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE
   CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f, tp + fn AS w FROM n)"""
 _S = """c AS (SELECT DISTINCT chunk_id, provenance.source_document AS file, provenance.char_start AS s, provenance.char_end AS e FROM chunks),
 o AS (SELECT g.file, g.chunk_id AS gold_id, p.chunk_id AS span_id, least(g.e, p.e) - greatest(g.s, p.s) AS shared, g.e - g.s AS size FROM c g JOIN c p ON g.file = p.file
-  WHERE g.chunk_id LIKE '%0' AND g.e > g.s AND p.e > p.s AND least(g.e, p.e) > greatest(g.s, p.s))"""
+  WHERE g.e > g.s AND p.e > p.s AND least(g.e, p.e) > greatest(g.s, p.s))"""
 _NAME = r"regexp_replace(lower(regexp_replace(regexp_replace({}, '^.*/', ''), '\.[A-Za-z0-9]{{1,5}}$', '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _T = "'" + "','".join(ontology.GOLDEN_TYPES) + "'"
 _R = "'" + "','".join(ontology.GOLDEN_RELATIONS) + "'"

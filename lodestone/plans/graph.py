@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import mean
 from lodestone.operators import graph as G
 from lodestone.operators.entities import node_key, upsert_nodes
 from lodestone.operators.search import tokenize
 from lodestone.plans import facts
-from lodestone.plans.sql import EDGES, ENT, node
+from lodestone.plans.sql import EDGES, ENT, mean_sql, node
 from lodestone.session import table
 
-LIMITED = "confidence >= 0.85 AND predicate IN ('uses_material', 'uses_equipment', 'produces_output', 'used_in_facility', 'has_subprocess')"
 
-
-def _edges(spark, d, condition=None):
-    e = facts.edges(spark, d)
-    return G.graph_edges(e.where(condition) if condition else e)
+def _edges(spark, d):
+    return G.graph_edges(facts.edges(spark, d))
 
 
 def _seeds(spark, d):
@@ -70,36 +69,15 @@ def multi_filter_union(spark, d):
 
 
 def reach_4hop(spark, d):
-    r = G.reach(_seeds(spark, d), _edges(spark, d, LIMITED), 4)
-    return r.groupBy("seed", "hop").agg(F.count("*").alias("n_nodes"))
-
-
-def trails_3hop(spark, d):
-    t = G.trails(_seeds(spark, d), _edges(spark, d, LIMITED), 3)
-    return t.groupBy("seed", F.size("edges").alias("hops")).agg(F.count("*").alias("n_trails"), F.count_distinct("node").alias("n_nodes"))
-
-
-def top_related(spark, d):
-    r = G.related(G.trails(_seeds(spark, d), _edges(spark, d, LIMITED), 2))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("seed").orderBy(F.col("n_trails").desc(), "node")
-    return r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-
-
-def reach_4hop_full(spark, d):
-    """reach_4hop over every edge; the SQL twin keeps reach_4hop to LIMITED ones, as with the next three."""
     return G.reach(_seeds(spark, d), _edges(spark, d), 4).groupBy("seed", "hop").agg(F.count("*").alias("n_nodes"))
 
 
-def trails_3hop_full(spark, d):
+def trails_3hop(spark, d):
     t = G.trail_counts(_seeds(spark, d), _edges(spark, d), 3)
     return t.groupBy("seed", "hops").agg(F.sum("n_trails").alias("n_trails"), F.count("*").alias("n_nodes"))
 
 
-def top_related_full(spark, d):
-    from pyspark.sql import Window
-
+def top_related(spark, d):
     t = G.trail_counts(_seeds(spark, d), _edges(spark, d), 2).where("node <> seed")
     r = t.groupBy("seed", "node").agg(F.sum("n_trails").alias("n_trails"), F.min("hops").alias("hops"))
     w = Window.partitionBy("seed").orderBy(F.col("n_trails").desc(), "node")
@@ -112,12 +90,19 @@ def _terms(spark, d):
 
 
 def fuzzy_seeds(spark, d):
-    return G.fuzzy_seeds(facts.entities(spark, d).select("name").distinct(), _terms(spark, d))
+    return G.fuzzy_seeds(facts.entities(spark, d), _terms(spark, d))
 
 
-def fuzzy_seeds_full(spark, d):
-    """fuzzy_seeds by terms anywhere in a name; the SQL twin keeps fuzzy_seeds to where a word begins."""
-    return G.containing_seeds(facts.entities(spark, d), _terms(spark, d))
+def subgraph(spark, d):
+    """Per question the nodes that bear the title's words exactly, or else those whose names contain terms, and what one hop reaches."""
+    names = facts.entities(spark, d).select(node_key("type", "name").alias("node"), "name").distinct()
+    titles = table(spark, d, "documents").where("doc_id % 100 = 0 and title is not null")
+    phrases = titles.select(F.col("doc_id").alias("query_id"), F.lower("title").alias("exact"))
+    steps = G.undirected(_edges(spark, d)).select("a", "b")
+    near = G.seeded(names, phrases, G.fuzzy_seeds(facts.entities(spark, d), _terms(spark, d)))
+    hop = near.join(steps, F.col("node") == F.col("a")).select("query_id", F.col("b").alias("node")).distinct()
+    out = near.groupBy("query_id", "found_by").agg(F.count("*").alias("n_seeds"))
+    return out.join(hop.groupBy("query_id").agg(F.count("*").alias("n_neighbours")), "query_id", "left").na.fill(0, ["n_neighbours"])
 
 
 def degree_isolated(spark, d):
@@ -133,20 +118,12 @@ def coverage_report(spark, d):
     e = _edges(spark, d)
     ends = e.select("source_document", F.col("s").alias("node")).unionByName(e.select("source_document", F.col("t").alias("node")))
     n = ends.groupBy("source_document").agg(F.count_distinct("node").alias("n_nodes"))
-    m = e.groupBy("source_document").agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_distinct("predicate").alias("n_predicates"))
+    m = e.groupBy("source_document").agg(F.count("*").alias("n_edges"), mean("confidence", 6).alias("mean_confidence"), F.count_distinct("predicate").alias("n_predicates"))
     density = F.round(F.least(F.lit(1.0), F.log1p(F.col("n_edges") / F.col("n_nodes")) / F.log1p(F.lit(4.0))), 4)
     return m.join(n, "source_document").withColumn("density_score", density)
 
 
 def hop_stats(spark, d):
-    e = _edges(spark, d, LIMITED)
-    r = G.reach(_seeds(spark, d), e, 3)
-    return r.join(e.select(F.col("s").alias("node"), "edge_id", "confidence", "source_document"), "node").groupBy("hop").agg(
-        F.count_distinct("node").alias("n_nodes"), F.count_distinct("edge_id").alias("n_edges"), F.count_distinct("source_document").alias("n_documents")
-    )
-
-
-def hop_stats_full(spark, d):
     e = _edges(spark, d)
     r = G.reach(_seeds(spark, d), e, 3).select("hop", "node").distinct()
     return r.join(e.select(F.col("s").alias("node"), "edge_id", "source_document"), "node").groupBy("hop").agg(
@@ -165,14 +142,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         entities_by_name, by_geography, by_year_range, by_numeric_value, multi_filter_union, reach_4hop, trails_3hop, top_related, fuzzy_seeds,
-        degree_isolated, coverage_report, hop_stats, context_lines, reach_4hop_full, trails_3hop_full, top_related_full, hop_stats_full,
-        fuzzy_seeds_full,
+        degree_isolated, coverage_report, hop_stats, context_lines, subgraph,
     )
 }
 
 _G = f"""{EDGES}, ge AS (SELECT relation_row_id AS edge_id, {node('s_type', 's_name')} AS s, {node('t_type', 't_name')} AS t, predicate, confidence, source_document, quote
   FROM edges)"""
-_L = f"""{_G}, le AS (SELECT * FROM ge WHERE s <> t AND {LIMITED}),
+_L = f"""{_G}, le AS (SELECT * FROM ge WHERE s <> t),
 st AS (SELECT edge_id, s AS a, t AS b FROM le UNION ALL SELECT edge_id, t, s FROM le),
 seeds AS (SELECT DISTINCT {node('type', 'canonical_name')} AS seed FROM synonym_groups WHERE type = 'Facility')"""
 _TRAILS = """t1 AS (SELECT seed, b AS node, [edge_id] AS e FROM seeds JOIN st ON seed = a),
@@ -197,6 +173,13 @@ _BYNAME = """SELECT label, name, n_documents, n_rows FROM (SELECT type AS label,
   WHERE lower(name) IN (SELECT lower(canonical_name) FROM synonym_groups)"""
 _TOK = "regexp_extract_all(lower(title), '[a-zA-Zа-яА-ЯёЁ0-9]+(?:[-_][a-zA-Zа-яА-ЯёЁ0-9]+)?')"
 
+_FUZZY = rf"""q AS (SELECT doc_id AS query_id, unnest({_TOK}) AS t FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL),
+terms AS (SELECT DISTINCT query_id, t AS term FROM q WHERE length(t) >= 3 UNION SELECT query_id, substr(t, 1, 5) FROM q WHERE length(t) >= 6
+  UNION SELECT query_id, substr(t, 1, 3) FROM q WHERE length(t) = 4),
+names AS (SELECT DISTINCT name FROM ent),
+h AS (SELECT query_id, name, sum(length(term))::BIGINT AS score FROM (SELECT DISTINCT query_id, name, term FROM terms JOIN names ON contains(lower(name), term) WHERE length(term) >= 3) GROUP BY 1, 2)
+SELECT query_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM h) WHERE rank <= 25"""
+
 SQL = {
     "entities_by_name": f"WITH {ENT} {_BYNAME}",
     "by_geography": f"""WITH {ENT} SELECT lower(g.name) AS place, e.type, count(DISTINCT e.name) AS n_names FROM ent e JOIN ent g ON e.chunk_id = g.chunk_id
@@ -211,18 +194,19 @@ SELECT seed, len(e)::INT AS hops, count(*) AS n_trails, count(DISTINCT node) AS
     "top_related": f"""WITH {_L}, {_TRAILS}, t AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2),
 r AS (SELECT seed, node, count(*) AS n_trails, min(len(e))::INT AS hops FROM t WHERE node <> seed GROUP BY 1, 2)
 SELECT seed, node, n_trails, hops, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY n_trails DESC, node) AS rank FROM r) WHERE rank <= 10""",
-    "fuzzy_seeds": rf"""WITH {ENT}, q AS (SELECT doc_id AS query_id, unnest({_TOK}) AS t FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL),
-terms AS (SELECT DISTINCT query_id, t AS term FROM q WHERE length(t) >= 3 UNION SELECT query_id, substr(t, 1, 5) FROM q WHERE length(t) >= 6
-  UNION SELECT query_id, substr(t, 1, 3) FROM q WHERE length(t) = 4),
-names AS (SELECT DISTINCT name FROM ent), w AS (SELECT DISTINCT name, unnest(regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}]+')) AS word FROM names),
-h AS (SELECT query_id, name, sum(length(term))::BIGINT AS score FROM (SELECT DISTINCT query_id, name, term FROM terms JOIN w ON starts_with(word, term) WHERE length(term) >= 3) GROUP BY 1, 2)
-SELECT query_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM h) WHERE rank <= 25""",
+    "fuzzy_seeds": f"WITH {ENT}, {_FUZZY}",
+    "subgraph": f"""WITH {_G}, st AS (SELECT s AS a, t AS b FROM ge WHERE s <> t UNION SELECT t, s FROM ge WHERE s <> t), n AS (SELECT DISTINCT {node('type', 'name')} AS node, name FROM ent),
+p AS (SELECT doc_id AS query_id, lower(title) AS exact FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL),
+x AS (SELECT DISTINCT query_id, node FROM n JOIN p ON lower(name) = exact), y AS ({'WITH ' + _FUZZY}),
+z AS (SELECT query_id, node, 'exact' AS found_by FROM x UNION ALL SELECT DISTINCT query_id, node, 'terms' FROM y JOIN n USING (name) WHERE query_id NOT IN (SELECT query_id FROM x)),
+h AS (SELECT query_id, count(DISTINCT b) AS n_neighbours FROM z JOIN st ON node = a GROUP BY 1)
+SELECT query_id, found_by, count(*) AS n_seeds, coalesce(any_value(n_neighbours), 0) AS n_neighbours FROM z LEFT JOIN h USING (query_id) GROUP BY 1, 2""",
     "degree_isolated": f"""WITH {_G}, n AS (SELECT DISTINCT {node('type', 'name')} AS node FROM ent),
 x AS (SELECT s AS node FROM ge WHERE s <> t UNION ALL SELECT t FROM ge WHERE s <> t), g AS (SELECT node, count(*) AS degree FROM x GROUP BY 1)
 SELECT n.node, coalesce(degree, 0) AS degree FROM n LEFT JOIN g USING (node)""",
     "coverage_report": f"""WITH {_G}, e AS (SELECT * FROM ge WHERE s <> t), x AS (SELECT source_document, s AS node FROM e UNION SELECT source_document, t FROM e),
 n AS (SELECT source_document, count(*) AS n_nodes FROM x GROUP BY 1)
-SELECT e.source_document, count(*) AS n_edges, round(avg(confidence), 6) AS mean_confidence, count(DISTINCT predicate) AS n_predicates, any_value(n_nodes) AS n_nodes,
+SELECT e.source_document, count(*) AS n_edges, {mean_sql('confidence', 6)} AS mean_confidence, count(DISTINCT predicate) AS n_predicates, any_value(n_nodes) AS n_nodes,
   round(least(1.0, ln(1 + count(*) / any_value(n_nodes)) / ln(5.0)), 4) AS density_score FROM e JOIN n USING (source_document) GROUP BY 1""",
     "hop_stats": f"""WITH {_L}, {_reach(3)} SELECT hop, count(DISTINCT node) AS n_nodes, count(DISTINCT edge_id) AS n_edges, count(DISTINCT source_document) AS n_documents
 FROM r3 JOIN le ON le.s = r3.node GROUP BY 1""",

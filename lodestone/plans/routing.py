@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import answer
+from lodestone.functions.text import mean
 from lodestone.operators import queryplan as Q
 from lodestone.operators import routing as R
 from lodestone.operators.entities import node_key
 from lodestone.plans import facts, graph
-from lodestone.plans.sql import EDGES, node
+from lodestone.plans.sql import EDGES, mean_sql, node
 from lodestone.session import table
 
 
@@ -56,7 +57,7 @@ def route_decision(spark, d):
     )
     ctx = ends.groupBy("node").agg(
         F.count("*").alias("n_edges"), (F.count_distinct("other") + 1).alias("n_nodes"), F.count_distinct("source_document").alias("n_sources"),
-        F.coalesce(F.round(F.avg("confidence"), 6), F.lit(0.0)).alias("mean_confidence"), F.count_if(F.col("predicate") == "contradicts").alias("n_contradictions"),
+        F.coalesce(mean("confidence", 6), F.lit(0.0)).alias("mean_confidence"), F.count_if(F.col("predicate") == "contradicts").alias("n_contradictions"),
     )
     full = q.join(seeds, "relation_row_id", "left").join(ctx, "node", "left").na.fill(
         0, ["n_seeds", "n_edges", "n_nodes", "n_sources", "mean_confidence", "n_contradictions"]
@@ -95,13 +96,24 @@ def extraction_route(spark, d):
     spans = F.aggregate(F.coalesce("n.primary_entities", F.array()), F.lit(0), lambda a, x: a + F.coalesce(x["stop"] - x["start"], F.lit(0)))
     c = c.where("text is not null").select("chunk_id", "text", F.size(F.coalesce("n.primary_entities", F.array())).alias("n_ner"), spans.alias("ner_chars"))
     llm = table(spark, d, "llm_entities").where("extractor <> 'statistical_ner'").groupBy("chunk_id").agg(
-        F.count("*").alias("n_llm"), F.round(F.avg("confidence"), 6).alias("llm_confidence")
+        F.count("*").alias("n_llm"), mean("confidence", 6).alias("llm_confidence")
     )
     return R.extraction_route(c.join(llm, "chunk_id", "left").na.fill(0, ["n_llm", "llm_confidence"])).select(
         "chunk_id", "technical_density", "relation_cues", "route", "route_confidence", "reason"
     )
 
 
+def extraction_fallback(spark, d):
+    """What to do after the extraction on record: its entities and relations of each chunk."""
+    e = table(spark, d, "llm_entities").select("chunk_id", F.lit(True).alias("e"), "confidence")
+    r = table(spark, d, "llm_relations").select("chunk_id", F.lit(False).alias("e"), "confidence")
+    got = e.unionByName(r).groupBy("chunk_id").agg(
+        F.count_if("e").alias("n_entities"), F.count_if(~F.col("e")).alias("n_relations"), mean("confidence", 6).alias("result_confidence")
+    )
+    full = extraction_route(spark, d).join(got, "chunk_id", "left").na.fill(0, ["n_entities", "n_relations", "result_confidence"])
+    return R.fallback_route(full).select("chunk_id", "next_route", "next_confidence", "fallback_reason")
+
+
 def answers(spark, d):
     """The rendered answer of every hundredth question, with facts and passages as its route asks."""
     q = questions(spark, d).where("relation_row_id % 100 = 0")
@@ -124,7 +136,7 @@ def query_plan(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (answers, query_language, query_plan, query_markers, query_numeric_constraint, query_entities, route_decision, structured_filters, rag_filters, extraction_route)
+    for f in (answers, query_language, query_plan, query_markers, query_numeric_constraint, query_entities, route_decision, structured_filters, rag_filters, extraction_route, extraction_fallback)
 }
 
 _QS = f"""{EDGES}, qs AS (SELECT *, relation_row_id::VARCHAR AS n, relation_row_id % 8 AS k FROM edges),
@@ -164,7 +176,7 @@ a AS (SELECT relation_row_id, question, s_type, s_name, contains(question, '?')
   coalesce(CASE WHEN nk = 'range' THEN {_v(_x(_RNG, 1))} WHEN nk = 'bare' THEN {_v(_x(_BARE, 1))} WHEN op IN ('>=', '>') THEN one END, -1.0) AS low,
   coalesce(CASE WHEN nk = 'range' THEN {_v(_x(_RNG, 2))} WHEN nk = 'bare' THEN {_v(_x(_BARE, 1))} WHEN op IN ('<=', '<') THEN one END, -1.0) AS high,
   CASE nk WHEN 'range' THEN {_x(_RNG, 3)} WHEN 'unit_first' THEN 'pH' WHEN 'operator' THEN {_x(_OP, 3)} WHEN 'bare' THEN {_x(_BARE, 2)} END AS numeric_unit FROM a1)"""
-_STEMS = ", ".join("('{}', '{}', {})".format(*x.split(" ", 1), i) for i, x in enumerate(R.STEMS.split(";")))
+_STEMS = ", ".join("('{}', '{}', {})".format(*x, i) for i, x in enumerate(R.STEMS))
 _SEEDS = f"""stems(stem, label, place) AS (VALUES {_STEMS}), w AS (SELECT relation_row_id, unnest(regexp_extract_all(question, '{R.WORD}')) AS word FROM q),
 dm AS (SELECT relation_row_id, word, arg_min(label, place) AS c FROM w JOIN stems ON starts_with(lower(word), stem) GROUP BY 1, 2),
 sd AS (SELECT relation_row_id, lower(c) AS canonical, max(conf) AS confidence FROM (SELECT relation_row_id, c, 0.6::DOUBLE AS conf FROM dm
@@ -173,6 +185,20 @@ sd AS (SELECT relation_row_id, lower(c) AS canonical, max(conf) AS confidence FR
 _SPACE = r"[ \t\n\r\f\x0B]+"
 _CLEAN = rf"trim(regexp_replace(regexp_replace(trim(regexp_replace(question, '{_SPACE}', ' ', 'g')), ' +([,.;:?!])', '\1', 'g'), '^[.,;: ]+|[.,;: ]+$', '', 'g'))"
 
+_ROUTED = rf"""WITH c0 AS (SELECT chunk_id, arg_max_null(text, ingested_at) AS text, arg_max_null(natasha, ingested_at) AS n FROM chunks GROUP BY 1),
+l AS (SELECT chunk_id, count(*) AS n_llm, {mean_sql('confidence', 6)} AS lc FROM llm_entities WHERE extractor <> 'statistical_ner' GROUP BY 1),
+c AS (SELECT c0.chunk_id, text, coalesce(len(n.primary_entities), 0) AS n_ner, coalesce(list_sum([coalesce(x.stop - x.start, 0) FOR x IN n.primary_entities]), 0) AS ner_chars,
+  coalesce(n_llm, 0) AS n_llm, coalesce(lc, 0) AS lc, round(len(regexp_extract_all(text, '(?i)[0-9]+(?:[,.][0-9]+)?\s*(?:%|°C|г/л|мг/л|м3/ч|А/м2|pH)')) / greatest(length(text), 1), 6) AS technical_density,
+  len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w IN ('влияет', 'повышает', 'снижает', 'использует', 'получен', 'проводили', 'зависит', 'подтвержден', 'описан', 'применяется', 'заменяет')))::INT AS relation_cues FROM c0 LEFT JOIN l USING (chunk_id) WHERE text IS NOT NULL),
+k AS (SELECT *, CASE WHEN trim(text) = '' THEN 1 WHEN length(text) <= 350 AND relation_cues = 0 THEN 2 WHEN length(text) >= 4500 THEN 3
+  WHEN (technical_density > 0.0015 OR relation_cues >= 2) AND n_ner > 0 THEN 4 WHEN technical_density > 0.0015 OR relation_cues >= 2 THEN 5
+  WHEN n_llm > 0 AND lc < 0.55 THEN 6 WHEN n_ner > 0 AND ner_chars / greatest(length(text), 1) < 0.003 THEN 7 WHEN n_ner > 0 AND relation_cues = 0 THEN 8 ELSE 9 END AS k FROM c),
+v(k, route, route_confidence, reason) AS (VALUES (1, 'skip', 1.0::DOUBLE, 'empty_chunk'), (2, 'natasha_only', 0.76, 'short_low_relation_signal'), (3, 'ensemble', 0.82, 'long_chunk_requires_llm_semantics'),
+  (4, 'ensemble', 0.84, 'technical_or_relation_dense;natasha_seeds_available'), (5, 'llm_only', 0.75, 'technical_or_relation_dense'), (6, 'ensemble', 0.78, 'low_llm_confidence_requires_ensemble'),
+  (7, 'llm_only', 0.72, 'sparse_natasha_coverage_requires_llm'), (8, 'natasha_only', 0.70, 'entity_only_chunk'), (9, 'ensemble', 0.68, 'default_semantic_extraction')),
+routed AS (SELECT chunk_id, technical_density, relation_cues, route, route_confidence, reason FROM k JOIN v USING (k))
+"""
+
 SQL = {
     "query_language": f"""WITH {_QS} SELECT relation_row_id, {_CLEAN} AS cleaned, trim(regexp_replace(translate(lower(question), '{Q.SMALL}', '{Q.PLAIN}'), '{_SPACE}', ' ', 'g')) AS matching,
   regexp_matches(question, '[А-Яа-яЁё]') AS has_cyrillic, regexp_matches(question, '[A-Za-z]') AS has_latin, regexp_matches(question, '[A-Za-z]') AND NOT regexp_matches(question, '[А-Яа-яЁё]') AS is_english FROM q""",
@@ -182,7 +208,7 @@ SQL = {
     "route_decision": f"""WITH {_ANALYZED}, {_SEEDS}, ns AS (SELECT relation_row_id, count(*) AS n_seeds FROM sd GROUP BY 1),
 ge AS (SELECT {node('s_type', 's_name')} AS s, {node('t_type', 't_name')} AS t, confidence, source_document, predicate FROM edges),
 en AS (SELECT s AS node, t AS other, confidence, source_document, predicate FROM ge WHERE s <> t UNION ALL SELECT t, s, confidence, source_document, predicate FROM ge WHERE s <> t),
-cx AS (SELECT node, count(*) AS n_edges, count(DISTINCT other) + 1 AS n_nodes, count(DISTINCT source_document) AS n_sources, coalesce(round(avg(confidence), 6), 0) AS mc,
+cx AS (SELECT node, count(*) AS n_edges, count(DISTINCT other) + 1 AS n_nodes, count(DISTINCT source_document) AS n_sources, coalesce({mean_sql('confidence', 6)}, 0) AS mc,
   count(*) FILTER (predicate = 'contradicts') AS nc FROM en GROUP BY 1),
 f AS (SELECT a.*, coalesce(n_seeds, 0) AS n_seeds, coalesce(n_edges, 0) AS n_edges, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_sources, 0) AS n_sources, coalesce(mc, 0) AS mc,
   coalesce(nc, 0) AS nc FROM a LEFT JOIN ns USING (relation_row_id) LEFT JOIN cx ON cx.node = {node('a.s_type', 'a.s_name')}),
@@ -208,16 +234,12 @@ SELECT relation_row_id, coverage_score, confidence_score, ambiguity_score, route
   CASE WHEN has_temporal THEN (SELECT year(max(extracted_at)) FROM llm_relations) - 5 ELSE 0 END AS min_year, has_numeric AS numeric_present FROM a""",
     "rag_filters": f"""WITH {_ANALYZED}, {_SEEDS}, nm AS (SELECT relation_row_id, array_to_string(list_sort(list(DISTINCT canonical)), ';') AS names FROM sd GROUP BY 1)
 SELECT nm.relation_row_id, names, coalesce(numeric_unit, '') AS property_name, coalesce(numeric_operator, '') AS operator FROM nm JOIN a USING (relation_row_id)""",
-    "extraction_route": f"""WITH c0 AS (SELECT chunk_id, arg_max_null(text, ingested_at) AS text, arg_max_null(natasha, ingested_at) AS n FROM chunks GROUP BY 1),
-l AS (SELECT chunk_id, count(*) AS n_llm, round(avg(confidence), 6) AS lc FROM llm_entities WHERE extractor <> 'statistical_ner' GROUP BY 1),
-c AS (SELECT c0.chunk_id, text, coalesce(len(n.primary_entities), 0) AS n_ner, coalesce(list_sum([coalesce(x.stop - x.start, 0) FOR x IN n.primary_entities]), 0) AS ner_chars,
-  coalesce(n_llm, 0) AS n_llm, coalesce(lc, 0) AS lc, round(len(regexp_extract_all(text, '{R.TECHNICAL}')) / greatest(length(text), 1), 6) AS technical_density,
-  len(regexp_extract_all(lower(text), '{R.RELATION_CUES}'))::INT AS relation_cues FROM c0 LEFT JOIN l USING (chunk_id) WHERE text IS NOT NULL),
-k AS (SELECT *, CASE WHEN trim(text) = '' THEN 1 WHEN length(text) <= 350 AND relation_cues = 0 THEN 2 WHEN length(text) >= 4500 THEN 3
-  WHEN (technical_density > 0.0015 OR relation_cues >= 2) AND n_ner > 0 THEN 4 WHEN technical_density > 0.0015 OR relation_cues >= 2 THEN 5
-  WHEN n_llm > 0 AND lc < 0.55 THEN 6 WHEN n_ner > 0 AND ner_chars / greatest(length(text), 1) < 0.003 THEN 7 WHEN n_ner > 0 AND relation_cues = 0 THEN 8 ELSE 9 END AS k FROM c),
-v(k, route, route_confidence, reason) AS (VALUES (1, 'skip', 1.0::DOUBLE, 'empty_chunk'), (2, 'statistical_only', 0.76, 'short_low_relation_signal'), (3, 'ensemble', 0.82, 'long_chunk_requires_model'),
-  (4, 'ensemble', 0.84, 'technical_or_relation_dense'), (5, 'model_only', 0.75, 'technical_or_relation_dense'), (6, 'ensemble', 0.78, 'low_model_confidence'),
-  (7, 'model_only', 0.72, 'sparse_statistical_coverage'), (8, 'statistical_only', 0.70, 'entity_only_chunk'), (9, 'ensemble', 0.68, 'default_semantic_extraction'))
-SELECT chunk_id, technical_density, relation_cues, route, route_confidence, reason FROM k JOIN v USING (k)""",
+    "extraction_route": _ROUTED + "SELECT chunk_id, technical_density, relation_cues, route, route_confidence, reason FROM routed",
+    "extraction_fallback": _ROUTED + f"""SELECT chunk_id, coalesce(nr, route) AS next_route, coalesce(nc, route_confidence) AS next_confidence, coalesce(fr, '') AS fallback_reason FROM (
+SELECT routed.*, CASE k2 WHEN 2 THEN 'llm_only' WHEN 3 THEN 'ensemble' WHEN 4 THEN 'ensemble' END AS nr, CASE k2 WHEN 2 THEN 0.74::DOUBLE WHEN 3 THEN 0.7 WHEN 4 THEN 0.73 END AS nc,
+  CASE k2 WHEN 2 THEN 'no_entities_after_primary_route' WHEN 3 THEN 'entities_without_relations' WHEN 4 THEN 'low_confidence_fallback' END AS fr FROM (
+SELECT routed.chunk_id, CASE WHEN route = 'skip' THEN 1 WHEN coalesce(ne, 0) = 0 AND route <> 'llm_only' THEN 2 WHEN coalesce(ne, 0) > 0 AND coalesce(nr, 0) = 0 AND route = 'natasha_only' THEN 3
+  WHEN coalesce(rc, 0) < 0.55 AND route <> 'ensemble' THEN 4 END AS k2 FROM routed LEFT JOIN (
+SELECT chunk_id, count(*) FILTER (e) AS ne, count(*) FILTER (NOT e) AS nr, {mean_sql('confidence', 6)} AS rc FROM (SELECT chunk_id, true AS e, confidence FROM llm_entities UNION ALL
+SELECT chunk_id, false, confidence FROM llm_relations) GROUP BY 1) x USING (chunk_id)) k JOIN routed USING (chunk_id))""",
 }

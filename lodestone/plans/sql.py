@@ -9,6 +9,11 @@ def canon(x: str) -> str:
     return rf"trim(regexp_replace({kept}, '[\s\p{{Z}}\x{{85}}]+', ' ', 'g'))"
 
 
+def mean_sql(x: str, digits: int) -> str:
+    """SQL twin of functions.text.mean."""
+    return f"round(sum(round({x} * 1e9)::BIGINT)::BIGINT / count({x}) / 1e9, {digits})"
+
+
 def node(t: str, n: str) -> str:
     return rf"{t} || '::' || lower(trim(regexp_replace({n}, '[ \t\n\r\f\x0B]+', ' ', 'g')))"
 
