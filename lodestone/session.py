@@ -31,19 +31,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, under the cluster's spark.checkpoint.dir.
 
-    Where the session names none (local tests), a local folder is set as the checkpoint folder.
+    Where a local session names none (tests), a local folder is set as the checkpoint folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not root:
         existing = context._jsc.sc().getCheckpointDir()
         root = existing.get() if existing.isDefined() else tempfile.mkdtemp(prefix="spark-lodestone-")
         if not existing.isDefined():
             context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session; to be called once the results that read them are stored."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: First bytes of file formats in hexadecimal (fixed values).
-MAGIC = {"pdf": "25504446", "docx": "504B0304", "pptx": "504B0304", "xlsx": "504B0304", "doc": "D0CF11E0", "xls": "D0CF11E0"}
-IMAGE_MAGIC = ["FFD8FF", "89504E47", "47494638", "424D", "49492A00", "4D4D002A"]
+# First bytes of file formats by extension, and of pictures.
+MAGIC = {
+    "pdf": b"%PDF", "docx": b"PK\x03\x04", "docm": b"PK\x03\x04", "pptx": b"PK\x03\x04", "xlsx": b"PK\x03\x04", "doc": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1",
+    "xls": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "gif": b"GIF8",
+}
+IMAGE_MAGIC = {b"BM": "bmp", b"\x89PNG": "png", b"\xff\xd8": "jpg", b"GIF8": "gif"}
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -43,11 +46,11 @@ def signature(content: Column | str, extension: Column | str) -> Column:
     c = F.col(content) if isinstance(content, str) else content
     x = F.col(extension) if isinstance(extension, str) else extension
     head = F.hex(F.substring(c, 1, 16))
-    want = F.element_at(F.create_map(*[F.lit(v) for p in MAGIC.items() for v in p]), F.lower(x))
+    want = F.try_element_at(F.create_map(*[F.lit(v) for k, m in MAGIC.items() for v in (k, m.hex().upper())]), F.lower(x))
     image = F.lit(False)
     for m in IMAGE_MAGIC:
-        image = image | head.startswith(m)
-    html = F.lower(F.trim(F.decode(F.substring(c, 1, 16), "ISO-8859-1"))).rlike(r"^(<!doctype|<html|<\?xml)")
+        image = image | head.startswith(m.hex().upper())
+    html = F.lower(F.decode(F.substring(c, 1, 64), "ISO-8859-1")).rlike(r"^\s*(<!doctype|<html|<\?xml)")
     return F.when(head.startswith(want), "match").when(image, "image").when(html, "html").otherwise("unknown")
 
 
@@ -96,7 +99,7 @@ def block_markdown(kind: str, content: str, level: str, rows: str, image: str, c
     cells = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))
     r = F.col(rows)
     rule = F.concat(F.lit("| "), F.array_join(F.transform(r[0], lambda c: F.lit("---")), " | "), F.lit(" |"))
-    table = F.when(F.size(r) > 0, F.concat_ws("\n", cells(r[0]), rule, F.array_join(F.transform(F.slice(r, 2, 1_000_000), cells), "\n")))
+    table = F.when(F.size(r) > 0, F.concat_ws("\n", cells(r[0]), rule, F.array_join(F.transform(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), cells), "\n")))
     head = F.concat(F.repeat(F.lit("#"), F.least(F.greatest(F.coalesce(level, F.lit(1)), F.lit(1)), F.lit(6))), F.lit(" "), F.trim(content))
     pic = F.concat(F.lit("["), F.coalesce(image, F.lit("IMAGE")), F.lit("]"), F.coalesce(F.concat(F.lit(" "), F.nullif(F.trim(caption), F.lit(""))), F.lit("")))
     k = F.col(kind)
@@ -104,13 +107,18 @@ def block_markdown(kind: str, content: str, level: str, rows: str, image: str, c
 
 
 def front_matter(text: Column | str) -> tuple[Column, Column]:
-    """(number of characters before the body, map of the keys) of a text; 0 and an empty map without front matter."""
+    """(number of characters before the body, map of the keys) of a text; 0 and an empty map without front matter.
+
+    Of a repeated key the last value counts.
+    """
     c = F.col(text) if isinstance(text, str) else text
-    block = F.regexp_extract(c, r"^(---\n(?:.*\n)*?---\n)", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: x.contains(":") & (F.trim(x) != "---"))
+    close = F.locate("\n---\n", c, 4)
+    size = F.when(c.startswith("---\n---\n"), 8).when(c.startswith("---\n") & (close > 0), close + 4).otherwise(0)
+    lines = F.filter(F.split(F.left(c, size), "\n"), lambda x: x.contains(":") & (F.trim(x) != "---"))
     keys = F.transform(lines, lambda x: F.trim(F.substring_index(x, ":", 1)))
     values = F.transform(lines, lambda x: F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))))
-    return F.length(block), F.map_from_arrays(F.array_distinct(keys), F.slice(values, 1, F.size(F.array_distinct(keys))))
+    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
+    return size, F.map_from_entries(pairs)
 
 
 def cell_text(value: Column, kind: Column) -> Column:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone import answer
-from lodestone.operators import chunking, evaluation, extraction, glossary, graph, measurements, search
+from lodestone.operators import chunking, evaluation, extraction, glossary, graph, measurements, routing, search
 from lodestone.sources import documents as sources
 
 
@@ -170,3 +170,42 @@ def test_streaming_matches_batch(spark, tmp_path):
     want = upsert_nodes(clean_entities(df))
     key = lambda d: sorted((r.label, r.name, r.n_rows) for r in d.select("label", "name", "n_rows").collect())
     assert key(got) == key(want)
+
+
+def test_glossary_takes_aliases_of_any_length(spark):
+    long = "one two three four five six seven eight"
+    groups = spark.createDataFrame([("g", long, ["six"])], "canonical_id string, canonical_name string, aliases array<string>")
+    texts = spark.createDataFrame([(1, f"Zero {long} nine.")], "id int, text string")
+    found = glossary.matches(texts, "id", "text", glossary.terms(groups))
+    assert {(r.alias, r.start) for r in found.collect()} == {(long, 2), ("six", 7)}
+    assert [(r.alias, r.start) for r in glossary.without_overlaps(found).collect()] == [(long, 2)]
+    assert glossary.matches(texts, "id", "text", glossary.terms(groups.limit(0))).count() == 0
+
+
+def test_candidates_keep_three_examples_of_hot_pairs(spark):
+    rows = [(k, f"Вариант {k}: печь Ванюкова (ПВ) работает") for k in range(50)] + [(90, "ЭВ - электровыщелачивание меди"), (91, "рисунок печи (РП)"), (92, "медная пульпа / copper pulp"), (93, None)]
+    got = {(r.a, r.b): r for r in glossary.candidates(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
+    hot = got["пв", "печь ванюкова"]
+    assert (hot.n, hot.n_texts, hot.rank, hot.form) == (50, 50, 1, "abbreviation") and [e.split(":")[0] for e in hot.examples] == ["0", "1", "2"]
+    assert got["эв", "электровыщелачивание меди"].form == "dash" and got["copper pulp", "медная пульпа"].form == "slash" and len(got) == 3
+
+
+def test_front_matter_and_signatures(spark):
+    df = spark.createDataFrame([("---\na: 1\na: 2\nb: x:y\n---\nBody",), ("---\n---\nx",), ("---\n" + "a\n" * 50_000,), ("no",), (None,)], "t string")
+    n, keys = sources.front_matter("t")
+    assert [tuple(r) for r in df.select(n.alias("n"), keys.alias("k")).collect()] == [(25, {"a": "2", "b": "x:y"}), (8, {}), (0, {}), (0, {}), (0, None)]
+    files = [(b"%PDF-1", "pdf"), (b"PK\x03\x04", "docm"), (b"\xff\xd8", "pdf"), (b"GIF89a", "gif"), (b"\n <HTML>", "doc"), (b"", "pdf"), (b"PK\x03\x04", "txt")]
+    got = spark.createDataFrame(files, "c binary, x string").select(sources.signature("c", "x").alias("k")).collect()
+    assert [r.k for r in got] == ["match", "match", "image", "match", "html", "unknown", "unknown"]
+
+
+def test_extraction_routes_and_fallbacks(spark):
+    base = ("text", 0, 0, 0, 0.0)
+    rows = [("", *base[1:]), ("Коротко.", *base[1:]), ("Это влияет и снижает.", 1, 4, 0, 0.0), ("Это влияет и снижает.", *base[1:]), ("x" * 5000, *base[1:]), ("а" * 400, 1, 4, 0, 0.0)]
+    df = spark.createDataFrame(rows, "text string, n_ner int, ner_chars int, n_llm int, llm_confidence double")
+    got = routing.extraction_route(df)
+    assert [r.route for r in got.collect()] == ["skip", "natasha_only", "ensemble", "llm_only", "ensemble", "natasha_only"]
+    after = got.withColumns({"n_entities": F.lit(2), "n_relations": F.lit(0), "result_confidence": F.lit(0.5)})
+    assert [r.next_route for r in routing.fallback_route(after).collect()] == ["skip", "ensemble", "ensemble", "ensemble", "ensemble", "ensemble"]
+    none = got.withColumns({"n_entities": F.lit(0), "n_relations": F.lit(0), "result_confidence": F.lit(0.0)})
+    assert [r.next_route for r in routing.fallback_route(none).collect()] == ["skip", "llm_only", "llm_only", "ensemble", "llm_only", "llm_only"]
