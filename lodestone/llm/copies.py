@@ -2,10 +2,9 @@
 
 Every (field name, normalised value) pair is hashed on its own; the hashes are added in two independent 60-bit lanes,
 so neither the order of fields nor the order of map entries matters while repeated pairs still count. Rows are grouped
-by scope and fingerprint with fixed-width hash aggregation (no sorting, combined before the shuffle, so a set of copies
-that holds a third of all rows travels as one row for each map task). The fields of the groups with more than one
-member are then compared with those of the group's smallest id; rows whose fields differ although their fingerprint is
-the same are grouped once more by the fields themselves, so a hash collision can't merge different records.
+by scope and fingerprint with hash aggregation (no sorting, combined before the shuffle, so a set of copies that holds a third
+of all rows travels as one row for each map task). The normalised fields are part of the group's key behind the fingerprint,
+so their equality is verified and a hash collision can't merge different records.
 
 Defined results: null and empty values are equal to each other; a row whose required fields hold no letter or digit is
 left out; repeated row ids count as one row each time they occur but list only once; empty tables give empty results.
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import letters_digits
+from lodestone.session import scratch_dir, written
 
 _MASK = (1 << 60) - 1
 
@@ -54,23 +54,15 @@ def fingerprinted(df: DataFrame, scope: str, row_id: str, fields: list[str], att
 def copy_groups(df: DataFrame, scope: str, row_id: str, fields: list[str], required: str) -> DataFrame:
     """(row_id, first_id, scope) of every row that shares its normalised fields with another row of its scope.
 
-    ``first_id`` is the smallest id of the group. ``required`` is the field that has to hold a letter or digit.
+    ``first_id`` is the smallest id of the group. ``required`` is the field that has to hold a letter or digit. The rows are
+    normalised and hashed once; groups are made by the fingerprint first, and what shares one is held against the fields.
     """
     names = [f"f{i}" for i in range(len(fields))]
-    rows = fingerprinted(df, scope, row_id, fields).where(F.col(f"f{fields.index(required)}") != "")
-    rows = rows.where(F.col("scope").isNotNull())
-    key = ["scope", "h1", "h2"]
-    groups = rows.groupBy(*key).agg(F.min("row_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    members = rows.join(groups.hint("shuffle_hash"), key).select("row_id", "first_id", "scope", *names)
-    firsts = members.where("row_id = first_id").select("first_id", "scope", *[F.col(n).alias(f"{n}_first") for n in names]).distinct()
-    compared = members.join(firsts.hint("shuffle_hash"), ["first_id", "scope"])
-    same = F.lit(True)
-    for n in names:
-        same = same & (F.col(n) == F.col(f"{n}_first"))
-    verified = compared.where(same).select("row_id", "first_id", "scope")
-    rest = compared.where(~same)
-    regrouped = rest.groupBy("scope", *names).agg(F.min("row_id").alias("first_id"))
-    return verified.unionByName(rest.drop("first_id").join(regrouped, ["scope", *names]).select("row_id", "first_id", "scope"))
+    rows = fingerprinted(df, scope, row_id, fields).where(F.col(f"f{fields.index(required)}") != "").where(F.col("scope").isNotNull())
+    rows = written(rows, scratch_dir(df.sparkSession, "fingerprints"))
+    key = ["scope", "h1", "h2", *names]  # the fields stand behind the fingerprint: equal hashes alone don't make a group
+    groups = rows.groupBy(*key).agg(F.min("row_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(groups.hint("shuffle_hash"), key).select("row_id", "first_id", "scope")
 
 
 def found_copies(df: DataFrame, scope: str, row_id: str, fields: list[str], required: str) -> DataFrame:

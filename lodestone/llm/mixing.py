@@ -3,12 +3,14 @@
 Each source gets a budget: its share of all tokens. A source that is smaller than its budget is used in whole epochs
 first, at most ``max_repeats``; the rest of the budget is filled by Efraimidis-Spirakis sampling: each text draws an
 exponential key divided by its quality weight, and texts are taken in the order of their keys until the budget is
-reached. The order within a source is found without sorting the source: keys fall into ``BUCKETS`` ranges whose token
-sums are prefix-summed, so that only the range in which the budget ends is ordered row by row. A source with a third
-of all rows is spread over all tasks until then.
+reached. The order within a source is found without sorting the source: keys fall into ranges on a logarithmic scale
+(``PER_OCTAVE`` to each doubling, so no range holds more than a small share of any source, whatever its weights), whose token
+sums are prefix-summed, so that only the range in which the budget ends is ordered row by row. A source with a third of all
+rows is spread over all tasks until then.
 
-A long text that no longer fits ends a pass; what is left of the budget is then filled, in ``PASSES`` passes, with the next
-texts in key order that are short enough.
+A text that no longer fits ends a pass; what is left of the budget is then filled with the next texts in key order that are
+short enough, pass by pass until no unused text fits, and then with texts that may be used once more, until none of those fits.
+From the second pass on only texts that are short enough for some rest are read.
 
 A text counts once however often it was loaded: identical texts are represented by the smallest id, so no text is used
 more than ``max_repeats`` times.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import scratch_dir, written
 
-BUCKETS, PASSES = 4096, 3
+PER_OCTAVE, NEVER = 512, 1 << 30
 
 
 def quality(text: Column) -> Column:
@@ -50,23 +52,34 @@ def selection(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     first = F.min(F.struct("doc_id", "source", "tokens", "weight")).alias("x")
     own = sizes.where("tokens > 0").groupBy("digest").agg(first).select("digest", "x.*")
     own = own.withColumn("key", sample_key(F.col("doc_id"), F.col("weight"), seed))
-    own = own.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)))
+    own = own.withColumn("bucket", F.floor(F.log2("key") * PER_OCTAVE))
     available = own.groupBy("source").agg(F.sum("tokens").alias("available"))
     budget = F.col("target_share") * F.col("total")
     epochs = F.least(F.floor(budget / F.col("available")), F.col("max_repeats").cast("bigint"))
     rest = F.when(epochs < F.col("max_repeats"), budget - epochs * F.col("available")).otherwise(F.lit(0.0))
     plan = available.join(targets, "source").crossJoin(F.broadcast(total))
     folder = scratch_dir(sizes.sparkSession, "mix")
-    plan = written(plan.select("source", epochs.alias("epochs"), rest.alias("rest")), f"{folder}/plan")
-    rows = written(own.join(plan.select("source", "epochs"), "source"), f"{folder}/rows")
-    left, open_rows, extra = plan.select("source", "rest"), rows, None
-    for k in range(PASSES):
-        taken = written(_prefix(open_rows, left), f"{folder}/taken{k}")
-        extra = taken if extra is None else extra.unionByName(taken)
+    plan = written(plan.select("source", "max_repeats", epochs.alias("epochs"), rest.alias("rest")), f"{folder}/plan")
+    rows = written(own.join(plan.select("source", "epochs", "max_repeats"), "source"), f"{folder}/rows")
+    left, passes, extra, again = plan.select("source", "rest"), 0, None, False
+    open_rows = rows
+    while True:
+        taken = written(_prefix(open_rows, left), f"{folder}/taken{passes}")
         used = taken.groupBy("source").agg(F.sum("tokens").alias("used"))
+        nothing = taken.isEmpty()
+        if nothing and again:
+            break
+        again = again or nothing
+        extra = taken if extra is None else extra.unionByName(taken)
         left = left.join(used, "source", "left").select("source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"))
-        open_rows = open_rows.join(taken.select("digest"), "digest", "left_anti")
-    counted = rows.join(extra.select("digest", F.lit(1).alias("extra")), "digest", "left").na.fill(0, ["extra"])
+        passes += 1
+        left = written(left, f"{folder}/left{passes}")
+        uses = extra.groupBy("digest").agg(F.count("*").alias("extra"))
+        short = rows.join(left.where("rest > 0"), "source").where("tokens <= rest").drop("rest").join(uses, "digest", "left").na.fill(0, ["extra"])
+        may = F.col("epochs") + F.col("extra") < F.col("max_repeats")
+        open_rows = written(short.where(may & ((F.col("extra") == 0) | F.lit(again))).drop("extra"), f"{folder}/open{passes}")
+    uses = extra.groupBy("digest").agg(F.count("*").alias("extra"))
+    counted = rows.join(uses, "digest", "left").na.fill(0, ["extra"])
     times = (F.col("epochs") + F.col("extra")).cast("int")
     return counted.select("doc_id", "source", "tokens", times.alias("times")).where("times > 0")
 
@@ -80,7 +93,7 @@ def _prefix(rows: DataFrame, rests: DataFrame) -> DataFrame:
         F.min(F.when(F.col("upto") > F.col("rest"), F.col("bucket"))).alias("last"),
         F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("before"),
     )
-    ends = ends.select("source", F.coalesce("last", F.lit(BUCKETS)).alias("last"), F.coalesce("before", F.lit(0)).alias("before"))
+    ends = ends.select("source", F.coalesce("last", F.lit(NEVER)).alias("last"), F.coalesce("before", F.lit(0)).alias("before"))
     near = fitting.join(ends, "source").where("bucket <= last")
     edge = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
     border = near.where("bucket = last").withColumn("upto", F.col("before") + F.sum("tokens").over(edge)).where("upto <= rest")

@@ -1,13 +1,14 @@
 """Texts of varying length in containers of fixed capacity, by a grouping genetic algorithm on islands.
 
 A text longer than the capacity is cut into full containers and one rest; nothing else is split. The items are spread
-over shards of about ``SHARD_ITEMS`` items (by a hash of a unique row number, so no key can make a shard hot). Several
+over shards of about ``SHARD_ITEMS`` items and at least ``SHARD_BINS`` containers (by a hash of a unique row number, so no key
+can make a shard hot), so that a shard's last, badly filled container is a small part whatever the capacity. Several
 islands search each shard's packing in parallel, each with its own population. Crossover injects whole well-filled
 containers of one parent into another, drops the containers that hold duplicates, and best-fits what they displaced.
 Between epochs each island sends its elite to the next one (a shuffle by shard and island). The best island's packing
 stands; the containers of all shards that are still badly filled are dissolved, dealt to new shards and packed again.
 
-All arrays are bounded by the shard size; every row is placed exactly once for each capacity.
+All arrays are bounded by the items of one shard; every row is placed exactly once for each capacity.
 
 Defined results: texts without tokens are placed at size 0; repeated rows are items of their own; capacities that are
 null or not positive are left out; empty tables give empty results.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import scratch_dir, spread, written
 
-SHARD_ITEMS, ISLANDS, POPULATION, GENERATIONS, EPOCHS, ELITE = 512, 3, 6, 20, 2, 2
+SHARD_ITEMS, SHARD_BINS, ISLANDS, POPULATION, GENERATIONS, EPOCHS, ELITE = 512, 64, 3, 6, 20, 2, 2
 WELL_FILLED, ROUNDS = 0.97, 2
 _STATE = "capacity int, shard bigint, island int, uids array<bigint>, pieces array<int>, sizes array<int>, packings array<array<int>>"
 
@@ -127,9 +128,9 @@ def _epoch(number: int):
     return run
 
 
-def items(sizes: DataFrame, capacities: list[int]) -> DataFrame:
+def items(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     """(capacity, uid, piece, size): whole texts, and the pieces of those that exceed the capacity."""
-    rows = sizes.select("uid", F.col("tokens").cast("int").alias("tokens"), F.explode(F.lit(capacities)).alias("capacity"))
+    rows = sizes.select("uid", F.col("tokens").cast("int").alias("tokens")).crossJoin(capacities)
     last = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1, F.lit(0))
     piece = F.explode(F.sequence(F.lit(0), last)).alias("piece")
     cut = rows.select("capacity", "uid", "tokens", piece)
@@ -139,11 +140,10 @@ def items(sizes: DataFrame, capacities: list[int]) -> DataFrame:
 def _packed(todo: DataFrame, name: str) -> DataFrame:
     """One round: (capacity, uid, piece, size, container, filled) of all items of ``todo``."""
     spark = todo.sparkSession
-    counts = {r.capacity: r["count"] for r in todo.groupBy("capacity").count().collect()}
-    if not counts:
-        return todo.select("*", F.lit("").alias("container"), F.lit(0).cast("bigint").alias("filled"))
-    shards = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, -(-n // SHARD_ITEMS))])
-    shard = F.pmod(F.xxhash64("uid", "piece", F.lit(name)), shards[F.col("capacity")])
+    by_tokens = F.floor(F.sum("size") / (F.lit(SHARD_BINS) * F.col("capacity")))
+    shards = todo.groupBy("capacity").agg(F.greatest(F.lit(1), F.least(F.ceil(F.count("*") / SHARD_ITEMS), by_tokens)).cast("bigint").alias("shards"))
+    todo = todo.join(shards, "capacity")
+    shard = F.pmod(F.xxhash64("uid", "piece", F.lit(name)), F.col("shards"))
     grouped = todo.withColumn("shard", shard).groupBy("capacity", "shard").agg(
         F.sort_array(F.collect_list(F.struct("uid", "piece", "size"))).alias("x")
     )
@@ -171,11 +171,14 @@ def _packed(todo: DataFrame, name: str) -> DataFrame:
     return flat.join(filled, ["capacity", "shard", "bin"]).select("capacity", "uid", "piece", "size", label.alias("container"), "filled")
 
 
-def pack(sizes: DataFrame, capacities: list[int]) -> DataFrame:
-    """(capacity, container, uid, piece, size) for every item and capacity."""
+def pack(sizes: DataFrame, capacities: DataFrame | list[int]) -> DataFrame:
+    """(capacity, container, uid, piece, size) for every item and capacity; capacities are a table with that column, or a list."""
     spark = sizes.sparkSession
+    if not isinstance(capacities, DataFrame):
+        capacities = spark.createDataFrame([(c,) for c in capacities], "capacity int")
+    wanted = capacities.select(F.col("capacity").cast("int").alias("capacity")).where("capacity > 0").distinct()
     folder = scratch_dir(spark, "packed")
-    every = items(sizes, sorted({c for c in capacities if c and c > 0}))
+    every = items(sizes, wanted)
     whole = F.col("size") == F.col("capacity")
     full = every.where(whole).select("capacity", "uid", "piece", "size", F.concat_ws("-", "capacity", F.lit("full"), "uid", "piece").alias("container"))
     todo, done = every.where(~whole), full

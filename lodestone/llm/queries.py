@@ -61,7 +61,7 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = tokens.sized(table(spark, d, "documents"), "doc_id", "text")
-    limits = [r.capacity_tokens for r in table(spark, d, "pack_capacities").select("capacity_tokens").distinct().limit(1000).collect()]
+    limits = table(spark, d, "pack_capacities").select(F.col("capacity_tokens").alias("capacity"))
     return packing.pack(sizes, limits).join(sizes.select("uid", "doc_id"), "uid")
 
 

@@ -25,6 +25,13 @@ def test_every_token_once_and_no_container_too_full(spark):
         assert len(per_bin) <= 1.05 * math.ceil(sum(values) / cap) + 2
 
 
+def test_large_capacities_are_filled_too(spark):
+    g = random.Random(4)
+    values = [g.randint(1, 900) for _ in range(6000)]
+    rows = packing.pack(_sizes(spark, values), spark.createDataFrame([(20_000,), (20_000,), (None,)], "capacity int")).collect()
+    assert sum(r["size"] for r in rows) == sum(values) and len({r.container for r in rows}) <= math.ceil(sum(values) / 20_000) + 1
+
+
 def test_hot_and_empty(spark):
     rows = packing.pack(_sizes(spark, [100] * 900), [512]).collect()
     assert len(rows) == 900 and len({r.container for r in rows}) == 180
@@ -67,6 +74,22 @@ def test_shares_repeats_and_epochs(spark):
     assert report["none"].mix_tokens == 0 and report["none"].tokens_short > 0 and report["small"].most_repeats == 2
 
 
+def test_budgets_are_filled_as_far_as_repeats_allow(spark):
+    rows = [(0, 0, "s", 60, 1.0, "a"), (1, 1, "s", 45, 1.0, "b"), (2, 2, "t", 95, 1.0, "c")]  # s: budget 100 of 105
+    targets = spark.createDataFrame([("s", 0.5, 2, 1, 1), ("t", 0.5, 2, 1, 1)], T)
+    got = {c.doc_id: c.times for c in mixing.selection(spark.createDataFrame(rows, M), targets).collect()}
+    used = 60 * got.get(0, 0) + 45 * got.get(1, 0)
+    assert got[2] == 1 and used <= 100 and 100 - used < 45  # nothing that fits is left
+
+
+def test_low_weights_spread_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(20_000).select(mixing.sample_key(F.col("id"), F.lit(0.1), 1).alias("key"))
+    most = keys.groupBy(F.floor(F.log2("key") * mixing.PER_OCTAVE).alias("bucket")).count().agg(F.max("count").alias("n")).first().n
+    assert most < 20_000 * 0.005
+
+
 def test_heavier_texts_come_first(spark):
     rows = [(k, k, "s", 10, 1.0 if k % 2 else 0.1, f"d{k}") for k in range(2000)]
     targets = spark.createDataFrame([("s", 0.3, 1, 1, 1)], T)
