@@ -43,8 +43,15 @@ def recovered_json(text: Column | str) -> Column:
 
 
 def parsed(answers: DataFrame, text: str) -> DataFrame:
-    """Adds ``answer`` (typed, null where it doesn't parse)."""
-    return answers.withColumn("answer", F.from_json(recovered_json(text), ANSWER))
+    """Adds ``answer`` (typed, null where it doesn't parse).
+
+    Nearly all answers parse from their first brace on, in the JVM; only those that don't, for prose with braces before the
+    object or none at all, are read token by token.
+    """
+    quick = answers.withColumn("answer", F.when(F.instr(text, "{") > 0, F.from_json(F.substring(F.col(text), F.instr(text, "{"), F.length(text)), ANSWER)))
+    fine = F.col("answer.entities").isNotNull() | F.col("answer.relations").isNotNull()
+    rest = quick.where(~F.coalesce(fine, F.lit(False))).drop("answer")
+    return quick.where(fine).unionByName(rest.withColumn("answer", F.from_json(recovered_json(text), ANSWER)))
 
 
 def converted(records: DataFrame) -> DataFrame:

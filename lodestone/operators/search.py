@@ -7,6 +7,7 @@ the shuffle by (query, document). Top-k uses a window for each query with the do
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,15 +33,30 @@ def postings(docs: DataFrame, doc_id: str, tokens: Column, binary: bool = False)
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, posting: DataFrame, idf: str = "plus", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """What lexical ranking reads: postings with the lengths of their documents, document frequencies, and totals (one row)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+def indexed(posting: DataFrame) -> Index:
+    """The index of a table of postings."""
+    lengths = posting.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    terms = posting.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(posting.join(lengths, "doc_id"), terms, lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+
+
+def bm25(queries: DataFrame, posting: DataFrame | Index, idf: str = "plus", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(query_id, doc_id, score). ``queries`` is (query_id, term), repeated terms count again.
 
     idf 'plus' is ln(1 + (N - df + .5) / (df + .5)); 'okapi' is without the 1 +, negative values replaced by ``floor``
-    times the mean idf of all terms.
+    times the mean idf of all terms. Postings may come as a table or as an index that was stored before.
     """
-    lengths = posting.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = posting.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
+    index = posting if isinstance(posting, Index) else indexed(posting)
+    df = index.terms.crossJoin(F.broadcast(index.totals.select("n_docs")))
     ratio = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     if idf == "plus":
         terms = df.select("term", F.log1p(ratio).alias("idf"))
@@ -49,11 +65,19 @@ def bm25(queries: DataFrame, posting: DataFrame, idf: str = "plus", k1: float =
         mean = raw.agg((floor * F.avg("idf")).alias("least"))
         terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, F.col("least")).otherwise(F.col("idf")).alias("idf"))
     wanted = queries.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(terms, "term")
-    hits = posting.join(wanted, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats.select("avgdl")))
+    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.totals.select("avgdl")))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * gain), 4).alias("score"))
 
 
+def hashed_vectors(posting: DataFrame, size: int = 64) -> DataFrame:
+    """(doc_id, v): documents as vectors of ``size`` hashed term counts, made from their postings: the dense leg's encoder."""
+    place = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int") % size).alias("place")
+    sums = posting.groupBy("doc_id", place).agg(F.sum("tf").cast("double").alias("n"))
+    full = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
+    return full.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("v"))
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The k best documents of each query, ranked from 1; ties go to the smaller id."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")

@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 from lodestone.operators import search as S
 from lodestone.plans.facts import edges
 from lodestone.plans.sql import EDGES
-from lodestone.session import parallel, scratch_dir, table, written
+from lodestone.session import kept, parallel, scratch_dir, table, written
 
 
 def _docs(spark, d):
     return parallel(table(spark, d, "documents").select("doc_id", "text", "title", "source", "lang", "doc_type"))
 
 
-def _postings(spark, d, binary=False):
-    """Postings of all documents as a written table: every step of a ranking reads it again."""
-    return written(S.postings(_docs(spark, d), "doc_id", S.tokenize("text"), binary), scratch_dir(spark, "postings"))
+def _index(spark, d, binary=False):
+    """The stored index of all documents: built with the first ranking over a data folder, read by every later one."""
+    name, source = f"index{'-binary' if binary else ''}", f"{d}/documents.parquet"
+    posting = kept(spark, f"{name}-terms", source, lambda: S.postings(_docs(spark, d), "doc_id", S.tokenize("text"), binary))
+    whole = S.indexed(posting)
+    return S.Index(
+        kept(spark, f"{name}-postings", source, lambda: whole.postings.repartition("term").sortWithinPartitions("term", "doc_id")),
+        kept(spark, f"{name}-frequencies", source, lambda: whole.terms), kept(spark, f"{name}-totals", source, lambda: whole.totals),
+    )
+
+
+def search_index(spark, d):
+    """Builds the index where it isn't there, and tells its size."""
+    i = _index(spark, d)
+    n = i.postings.agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    return i.totals.select("n_docs").crossJoin(n).crossJoin(i.terms.agg(F.count("*").alias("n_terms"), F.max("df").alias("largest_df")))
 
 
 def _questions(spark, d):
@@ -30,15 +43,15 @@ def tokenize_counts(spark, d):
 
 
 def bm25_topk(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), _postings(spark, d)), 10)
+    return S.top_k(S.bm25(_questions(spark, d), _index(spark, d)), 10)
 
 
 def bm25_okapi_topk(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), _postings(spark, d), idf="okapi"), 10)
+    return S.top_k(S.bm25(_questions(spark, d), _index(spark, d), idf="okapi"), 10)
 
 
 def binary_tf_bm25(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), _postings(spark, d, binary=True), idf="okapi"), 10)
+    return S.top_k(S.bm25(_questions(spark, d), _index(spark, d, binary=True), idf="okapi"), 10)
 
 
 def dense_topk(spark, d):
@@ -47,9 +60,11 @@ def dense_topk(spark, d):
 
 
 def rrf_hybrid(spark, d):
-    lexical = S.top_k(S.bm25(_questions(spark, d), _postings(spark, d)), 50)
-    v = table(spark, d, "embeddings")
-    dense = S.dense_top_k(v, "vec_id", "embedding", v.where("vec_id % 100 = 0"), 50)
+    """Both legs rank the documents: by their words and by vectors of their hashed words."""
+    index = _index(spark, d)
+    lexical = S.top_k(S.bm25(_questions(spark, d), index), 50)
+    v = written(S.hashed_vectors(index.postings), scratch_dir(spark, "vectors"))
+    dense = S.dense_top_k(v, "doc_id", "v", v.where("doc_id % 100 = 0"), 50)
     return S.top_k(S.rrf([lexical, dense]), 10)
 
 
@@ -104,7 +119,7 @@ def truncated_context(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_counts, bm25_topk, bm25_okapi_topk, binary_tf_bm25, dense_topk, rrf_hybrid, edge_documents, edge_search,
+        tokenize_counts, search_index, bm25_topk, bm25_okapi_topk, binary_tf_bm25, dense_topk, rrf_hybrid, edge_documents, edge_search,
         edge_search_seed_boost, snippets_titles, embedding_texts, short_text_filter, truncated_context,
     )
 }
@@ -146,7 +161,11 @@ SQL = {
     "bm25_okapi_topk": f"WITH {_bm25('documents', _Q, _OKAPI, floor=True)} {_top('scores')}",
     "binary_tf_bm25": f"WITH {_bm25('documents', _Q, _OKAPI, binary=True, floor=True)} {_top('scores')}",
     "dense_topk": f"WITH {_DENSE} {_top('dense')}",
-    "rrf_hybrid": f"""WITH {_bm25('documents', _Q)}, {_DENSE}, legs AS ({_top('scores', 50)} UNION ALL {_top('dense', 50)}),
+    "search_index": f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2)
+SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_postings, sum(tf)::BIGINT AS n_tokens, count(DISTINCT term) AS n_terms, (SELECT max(n) FROM (SELECT count(*) AS n FROM p GROUP BY term)) AS largest_df FROM p""",
+    "rrf_hybrid": f"""WITH {_bm25('documents', _Q)}, h AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS place, sum(tf)::DOUBLE AS n FROM posting GROUP BY 1, 2),
+nm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM h GROUP BY 1), dense AS (SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.n * b.n) / any_value(x.norm * y.norm), 4) AS score
+  FROM h a JOIN h b ON a.place = b.place JOIN nm x ON x.doc_id = a.doc_id JOIN nm y ON y.doc_id = b.doc_id WHERE a.doc_id % 100 = 0 GROUP BY 1, 2), legs AS ({_top('scores', 50)} UNION ALL {_top('dense', 50)}),
 fused AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM legs GROUP BY 1, 2) {_top('fused')}""",
     "edge_documents": f"WITH {_EDGE} SELECT doc_id, text FROM edocs",
     "edge_search": f"WITH {_EDGE} {_top('scores')}",

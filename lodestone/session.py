@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SCRATCH: dict[str, list[str]] = {}
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, under the cluster's spark.checkpoint.dir.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's spark.checkpoint.dir.
 
     Where a local session names none (tests), a local folder is set as the checkpoint folder; on a cluster that is an error.
     """
@@ -48,18 +50,48 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         root = existing.get() if existing.isDefined() else tempfile.mkdtemp(prefix="spark-lodestone-")
         if not existing.isDefined():
             context.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    _SCRATCH.setdefault(context.applicationId, []).append(path)
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def kept(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files of ``source``: built once for each state of them (names, sizes, times), then read again.
+
+    It is written aside and moved into place when it is complete, so a lost job or a second builder leaves no half table. Such
+    tables stay until they are deleted; ``release`` leaves them.
+    """
+    fs, path = _files(spark, source)
+    found, listed = fs.listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        listed.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    state = hashlib.sha256("\n".join(sorted(listed)).encode()).hexdigest()[:16]
+    target = f"{shared_root(spark)}/kept-{name}-{state}"
+    own, done = _files(spark, f"{target}/_SUCCESS")
+    if not own.exists(done):
+        aside = scratch_dir(spark, name)
+        build().write.mode("overwrite").parquet(aside)
+        own.rename(_files(spark, aside)[1], _files(spark, target)[1])
+    return spark.read.parquet(target)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables of this session; to be called once the results that read them are stored."""
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = _files(spark, path)
+        fs.delete(target, True)
     return len(paths)
 
 
