@@ -110,6 +110,33 @@ def merge_relations(edges: DataFrame, w: MergeWeights | None = None) -> DataFram
     )
 
 
+def entity_payloads(entities: DataFrame) -> DataFrame:
+    """(chunk_id, type, canon, mentions, attributes) of merged entities: every distinct mention, and of each attribute key the value
+    of the most confident member (then the latest row), written 'key=value' in order of the keys."""
+    keys = ["chunk_id", "type", "canon"]
+    rows = entities.where("confidence is not null").withColumn("canon", canonicalize("name"))
+    mention = rows.select(*keys, F.explode_outer("mentions").alias("m")).groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.trim("m") != "", F.trim("m")))).alias("mentions"))
+    each = rows.select(*keys, "confidence", "entity_row_id", F.explode("attributes").alias("k", "v")).where("v is not null")
+    best = each.groupBy(*keys, "k").agg(F.max_by("v", F.struct("confidence", "entity_row_id")).alias("v"))
+    merged = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat("k", F.lit("="), "v"))).alias("attributes"))
+    return mention.join(merged, keys, "left").withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+
+
+def relation_payloads(edges: DataFrame, merged: DataFrame) -> DataFrame:
+    """(chunk_id, source_id, predicate, target_id, quote, n_members): relations between merged entities by those entities' own ids,
+    with the longest quote (of equally long ones that of the first row); an endpoint that was not merged keeps its type and name."""
+    rows = edges.where("confidence is not null").withColumns({"s_canon": canonicalize("s_name"), "t_canon": canonicalize("t_name")})
+    ids = merged.select("chunk_id", "type", "canon", "local_id")
+    for end, out in (("s", "source_id"), ("t", "target_id")):
+        own = ids.select("chunk_id", F.col("type").alias(f"{end}_type"), F.col("canon").alias(f"{end}_canon"), F.col("local_id").alias(f"{end}_local"))
+        rows = rows.join(own, ["chunk_id", f"{end}_type", f"{end}_canon"], "left")
+        rows = rows.withColumn(out, F.coalesce(f"{end}_local", F.concat_ws(":", f"{end}_type", f"{end}_canon")))
+    q = F.trim(F.coalesce("quote", F.lit("")))
+    return rows.groupBy("chunk_id", "source_id", "predicate", "target_id").agg(
+        F.max_by(q, F.struct(F.length(q), -F.col("relation_row_id"))).alias("quote"), F.count("*").alias("n_members")
+    )
+
+
 def deduplicated(entities: DataFrame) -> DataFrame:
     """Within a chunk, entities of one type and canonical name: the first row stays, with the mentions of all of them."""
     rows = entities.withColumn("canon", canonicalize("name"))

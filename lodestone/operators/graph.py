@@ -140,6 +140,14 @@ def numeric_filter(values: DataFrame, low: float | None = None, high: float | No
     return out if unit is None else out.where(F.lower("unit") == unit.lower())
 
 
+def interval_filter(values: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Ranges (low, high) that meet an interval; a missing end of a range is its other end."""
+    out = values
+    if low is not None:
+        out = out.where(F.coalesce("high", "low") >= low)
+    return out if high is None else out.where(F.coalesce("low", "high") <= high)
+
+
 def year_filter(values: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
     """Years within bounds; without any bound the result is empty."""
     if low is None and high is None:

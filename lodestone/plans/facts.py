@@ -47,6 +47,14 @@ def ensemble_relations(spark, d):
     return E.merge_relations(edges(spark, d))
 
 
+def ensemble_entity_payloads(spark, d):
+    return E.entity_payloads(entities(spark, d))
+
+
+def ensemble_relation_payloads(spark, d):
+    return E.relation_payloads(edges(spark, d), E.merge_entities(entities(spark, d)))
+
+
 def source_names(spark, d):
     return table(spark, d, "llm_relations").groupBy(E.source_name("extractor").alias("source")).agg(F.count("*").alias("n"))
 
@@ -126,7 +134,7 @@ def type_name_counts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalized_entities, safe_relation_types, type_name_counts, canonicalize_names, dedup_entities, ensemble_entities, ensemble_decisions, ensemble_relations, source_names, confidence_calibration,
+        normalized_entities, safe_relation_types, type_name_counts, canonicalize_names, dedup_entities, ensemble_entities, ensemble_decisions, ensemble_relations, ensemble_entity_payloads, ensemble_relation_payloads, source_names, confidence_calibration,
         attribute_merge, graph_upsert_nodes, graph_upsert_edges, graph_satellites, graph_stats, unknown_types, alias_resolve, quality_issues,
         knowledge_gaps, contradictions,
     )
@@ -180,6 +188,17 @@ SELECT chunk_id, s_type, s_canon, predicate, t_type, t_canon,
        max(length(q)) AS quote_chars, nullif(array_to_string(list_sort(list(DISTINCT trim(note)) FILTER (trim(note) <> '')), '; '), '') AS note,
        count(*) AS n_members, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources
 FROM r GROUP BY 1, 2, 3, 4, 5, 6""",
+    "ensemble_entity_payloads": f"""WITH {ENT}, r AS (SELECT *, {canon('name')} AS canon FROM ent WHERE confidence IS NOT NULL), k AS (SELECT DISTINCT chunk_id, type, canon FROM r),
+mm AS (SELECT chunk_id, type, canon, list_sort(list(DISTINCT trim(m))) AS mentions FROM (SELECT chunk_id, type, canon, unnest(mentions) AS m FROM r) WHERE trim(m) <> '' GROUP BY 1, 2, 3),
+x AS (SELECT chunk_id, type, canon, confidence, entity_row_id, unnest(map_entries(attributes)) AS kv FROM r),
+b AS (SELECT chunk_id, type, canon, kv.key AS a, arg_max(kv.value, (confidence, entity_row_id)) AS v FROM x WHERE kv.value IS NOT NULL GROUP BY 1, 2, 3, 4),
+aa AS (SELECT chunk_id, type, canon, list_sort(list(a || '=' || v)) AS attributes FROM b GROUP BY 1, 2, 3)
+SELECT k.chunk_id, k.type, k.canon, coalesce(mentions, []) AS mentions, coalesce(attributes, []) AS attributes FROM k
+LEFT JOIN mm ON mm.chunk_id = k.chunk_id AND mm.type = k.type AND mm.canon = k.canon LEFT JOIN aa ON aa.chunk_id = k.chunk_id AND aa.type = k.type AND aa.canon = k.canon""",
+    "ensemble_relation_payloads": _MERGED.replace(f"WITH {ENT}", f"WITH {EDGES}") + f""", r AS (SELECT *, {canon('s_name')} AS s_canon, {canon('t_name')} AS t_canon, trim(coalesce(quote, '')) AS q FROM edges WHERE confidence IS NOT NULL),
+j AS (SELECT r.*, coalesce(a.local_id, s_type || ':' || s_canon) AS source_id, coalesce(b.local_id, t_type || ':' || t_canon) AS target_id FROM r
+  LEFT JOIN m a ON a.chunk_id = r.chunk_id AND a.type = s_type AND a.canon = s_canon LEFT JOIN m b ON b.chunk_id = r.chunk_id AND b.type = t_type AND b.canon = t_canon)
+SELECT chunk_id, source_id, predicate, target_id, arg_max(q, (length(q), -relation_row_id)) AS quote, count(*) AS n_members FROM j GROUP BY 1, 2, 3, 4""",
     "source_names": f"SELECT {SOURCE} AS source, count(*) AS n FROM llm_relations GROUP BY 1",
     "confidence_calibration": f"""WITH {ENT}, e AS (SELECT *, {canon('name')} AS canon FROM ent WHERE confidence IS NOT NULL),
 s AS (SELECT type, canon, count(DISTINCT source_document) AS support FROM e GROUP BY 1, 2)

@@ -53,13 +53,25 @@ def by_year_range(spark, d):
 def _numbers(spark, d):
     get = lambda k: F.try_element_at("attributes", F.lit(k))
     e = facts.entities(spark, d)
-    return e.select("entity_row_id", "type", "name", F.coalesce(get("value"), get("numeric_value")).try_cast("double").alias("value"), get("unit").alias("unit"))
+    number = lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
+    value = number(F.coalesce(get("value"), get("numeric_value")))
+    return e.select(
+        "entity_row_id", "type", "name", value.alias("value"), get("unit").alias("unit"), F.lower(F.trim(F.coalesce(get("property_name"), "name"))).alias("property_name"),
+        F.coalesce(number(get("min")), value).alias("low"), F.coalesce(number(get("max")), value).alias("high"),
+    )
 
 
 def by_numeric_value(spark, d):
     return G.numeric_filter(_numbers(spark, d), 10, 5000, "мг/л").select("entity_row_id", "name", "value", "unit")
 
 
+def by_property_value(spark, d):
+    """Values and ranges of one property that meet an interval; the property is the most frequent of those with numbers."""
+    n = _numbers(spark, d).where("low is not null or high is not null")
+    most = n.groupBy("property_name").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "property_name").limit(1).select("property_name")
+    return G.interval_filter(n.join(F.broadcast(most), "property_name"), 10, 5000).select("entity_row_id", "property_name", "low", "high", F.coalesce("unit", F.lit("")).alias("unit"))
+
+
 def multi_filter_union(spark, d):
     """Results of the filters one after the other (not their intersection)."""
     a = entities_by_name(spark, d).select(F.lit("name").alias("filter"), F.col("label").alias("type"), "name")
@@ -141,7 +153,7 @@ def context_lines(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        entities_by_name, by_geography, by_year_range, by_numeric_value, multi_filter_union, reach_4hop, trails_3hop, top_related, fuzzy_seeds,
+        entities_by_name, by_geography, by_year_range, by_numeric_value, by_property_value, multi_filter_union, reach_4hop, trails_3hop, top_related, fuzzy_seeds,
         degree_isolated, coverage_report, hop_stats, context_lines, subgraph,
     )
 }
@@ -166,7 +178,8 @@ def _reach(hops: int) -> str:
     return ",\n".join(parts)
 
 
-_NUM = "SELECT entity_row_id, type, name, try_cast(coalesce(attributes['value'], attributes['numeric_value']) AS DOUBLE) AS value, attributes['unit'] AS unit FROM ent"
+_NUM = """SELECT entity_row_id, type, name, try_cast(replace(coalesce(attributes['value'], attributes['numeric_value']), ',', '.') AS DOUBLE) AS value, attributes['unit'] AS unit,
+  lower(trim(coalesce(attributes['property_name'], name))) AS property_name, try_cast(replace(attributes['min'], ',', '.') AS DOUBLE) AS mn, try_cast(replace(attributes['max'], ',', '.') AS DOUBLE) AS mx FROM ent"""
 _YEARS = r"""SELECT DISTINCT e.chunk_id, e.type, e.name, y.year FROM ent e JOIN (SELECT chunk_id, try_cast(regexp_extract(name, '(1[89]|20)\d\d', 0) AS INT) AS year FROM ent WHERE type = 'Year') y
   ON e.chunk_id = y.chunk_id WHERE e.type <> 'Year' AND year BETWEEN 2005 AND 2015"""
 _BYNAME = """SELECT label, name, n_documents, n_rows FROM (SELECT type AS label, name, count(DISTINCT source_document) AS n_documents, count(*) AS n_rows FROM ent GROUP BY 1, 2)
@@ -186,6 +199,9 @@ SQL = {
 WHERE g.type = 'Geography' AND e.type <> 'Geography' GROUP BY 1, 2""",
     "by_year_range": f"WITH {ENT}, y AS ({_YEARS}) SELECT year, type, count(DISTINCT name) AS n_names FROM y GROUP BY 1, 2",
     "by_numeric_value": f"WITH {ENT}, n AS ({_NUM}) SELECT entity_row_id, name, value, unit FROM n WHERE value BETWEEN 10 AND 5000 AND lower(unit) = 'мг/л'",
+    "by_property_value": f"""WITH {ENT}, n AS (SELECT entity_row_id, property_name, coalesce(mn, value) AS low, coalesce(mx, value) AS high, coalesce(unit, '') AS unit FROM ({_NUM})),
+k AS (SELECT * FROM n WHERE low IS NOT NULL OR high IS NOT NULL), p AS (SELECT property_name FROM k GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT entity_row_id, property_name, low, high, unit FROM k WHERE property_name = (SELECT property_name FROM p) AND coalesce(high, low) >= 10 AND coalesce(low, high) <= 5000""",
     "multi_filter_union": f"""WITH {ENT}, u AS (SELECT 'name' AS filter, label AS type, name FROM ({_BYNAME}) UNION ALL SELECT 'year', type, name FROM ({_YEARS})
 UNION ALL SELECT 'numeric', type, name FROM ({_NUM}) WHERE value BETWEEN 10 AND 5000) SELECT filter, type, count(DISTINCT name) AS n_names FROM u GROUP BY 1, 2""",
     "reach_4hop": f"WITH {_L}, {_reach(4)} SELECT seed, hop, count(*) AS n_nodes FROM r4 GROUP BY 1, 2",
