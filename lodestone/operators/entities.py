@@ -37,6 +37,22 @@ def resolved_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return rel.join(s, ["chunk_id", "s_id"]).join(t, ["chunk_id", "t_id"])
 
 
+def edges_or_ids(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(relation_row_id, source, predicate, target, n_resolved): every relation with a predicate; an endpoint that no entity of the chunk
+    bears as its id falls back to an entity of that name, and without one stays as it was written."""
+    ids = by_local_id(entities)
+    names = entities.groupBy("chunk_id", F.lower("name").alias("key")).agg(F.min(F.struct("entity_row_id", "name")).alias("e")).select("chunk_id", "key", F.col("e.name").alias("named"))
+    out = relations.where("trim(predicate) <> ''").select("relation_row_id", "chunk_id", F.trim("predicate").alias("predicate"), F.trim("subject").alias("s"), F.trim("object").alias("t"))
+    for end in ("s", "t"):
+        own = ids.select("chunk_id", F.col("local_id").alias(end), F.col("name").alias(f"{end}_name"))
+        by_name = names.select("chunk_id", F.col("key").alias(f"{end}_key"), F.col("named").alias(f"{end}_named"))
+        out = out.join(own, ["chunk_id", end], "left").withColumn(f"{end}_key", F.lower(end)).join(by_name, ["chunk_id", f"{end}_key"], "left")
+        out = out.withColumn(f"{end}_found", F.coalesce(f"{end}_name", f"{end}_named"))
+    resolved = sum((F.col(f"{end}_found").isNotNull().cast("int") for end in ("s", "t")), F.lit(0))
+    text = lambda end: F.coalesce(f"{end}_found", F.nullif(F.col(end), F.lit("")), F.lit("?"))
+    return out.select("relation_row_id", text("s").alias("source"), "predicate", text("t").alias("target"), resolved.alias("n_resolved"))
+
+
 def node_key(type_: Column | str, name: Column | str) -> Column:
     """Graph-wide id of an entity: type and lower-case name with blanks collapsed."""
     c = lambda x: F.col(x) if isinstance(x, str) else x

@@ -73,6 +73,35 @@ def converted(records: DataFrame) -> DataFrame:
     )
 
 
+def rejections(entities: DataFrame, types: list[str]) -> DataFrame:
+    """(chunk_id, n_entities, n_bad_types, n_repeated_ids, accepted): a record with an unknown type or a repeated id is rejected whole."""
+    own = F.trim(F.coalesce("local_id", F.lit("")))
+    by_id = entities.where("chunk_id is not null").groupBy("chunk_id", own.alias("id")).agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(F.trim("type").isin(*types), F.lit(False))).alias("bad")
+    )
+    out = by_id.groupBy("chunk_id").agg(
+        F.sum("n").alias("n_entities"), F.sum("bad").alias("n_bad_types"), F.count_if((F.col("id") != "") & (F.col("n") > 1)).alias("n_repeated_ids")
+    )
+    return out.withColumn("accepted", (F.col("n_bad_types") == 0) & (F.col("n_repeated_ids") == 0))
+
+
+def short_quote(text: Column, mention: Column, before: int = 80, most: int = 240) -> Column:
+    """``most`` characters from a little before the first occurrence of a mention; the text's beginning where it doesn't occur."""
+    at = F.instr(F.lower(text), F.lower(mention))
+    return F.trim(F.substring(text, F.when(at > before, at - before).otherwise(1), F.lit(most)))
+
+
+FIELDS = {"source_document": ("source_file", "file"), "name": ("canonical_name", "entity", "label"), "type": ("entity_type", "kind")}
+
+
+def one_dialect(records: DataFrame) -> DataFrame:
+    """Records whose fields go by other names in some dialects (``FIELDS``): each field is the first of its names that has a value."""
+    have = set(records.columns)
+    pick = lambda own, others: F.coalesce(*[F.col(c) for c in (own, *others) if c in have], F.lit(None).cast("string"))
+    rest = [c for c in records.columns if c not in FIELDS and c not in {x for v in FIELDS.values() for x in v}]
+    return records.select(*rest, *[pick(own, others).alias(own) for own, others in FIELDS.items()])
+
+
 def stand_in(text: Column | str) -> Column:
     """Array of (keyword, type) that a text names, in the order of the fixed list: what the stand-in extracts without a model."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)

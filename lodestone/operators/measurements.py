@@ -64,3 +64,10 @@ def extracted(rows: DataFrame, key: str, text: str) -> DataFrame:
 def simple_values(text: Column | str) -> Column:
     """Matches of ``SIMPLE`` as an array of texts."""
     return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(SIMPLE), F.lit(0))
+
+
+def labels(values: Column, shown: int = 16) -> Column:
+    """Distinct values in one line, in order; the number of those left out, repeated ones included, follows."""
+    first = F.slice(F.array_distinct(values), 1, shown)
+    more = F.when(F.size(values) > F.size(first), F.concat(F.lit("; ... +"), (F.size(values) - F.size(first)).cast("string"))).otherwise("")
+    return F.when(F.size(values) == 0, "—").otherwise(F.concat(F.array_join(first, "; "), more))

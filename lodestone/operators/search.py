@@ -84,6 +84,17 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def padded_top_k(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each query; where fewer have a score, the first others by id follow with 0.
+
+    A query with fewer than k hits needs at most the 2k smallest ids to fill up, so no query meets all documents.
+    """
+    first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
+    filler = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    best = top_k(scores, k).select("query_id", "doc_id", "score").unionByName(filler.select("query_id", "doc_id", "score"))
+    return top_k(best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+
+
 def dense_top_k(vectors: DataFrame, vec_id: str, embedding: str, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine, exact: blocks of queries against blocks of vectors.
 

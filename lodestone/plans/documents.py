@@ -111,6 +111,17 @@ def numeric_simple(spark, d):
     )
 
 
+def value_labels(spark, d):
+    """The values of each chunk in one line."""
+    return _latest_chunks(spark, d).select("chunk_id", measurements.labels(measurements.simple_values("text")).alias("label"))
+
+
+def short_quotes(spark, d):
+    """What stands around the first mention of each entity in its chunk."""
+    e = facts.entities(spark, d).select("entity_row_id", "chunk_id", F.coalesce(F.get("mentions", F.lit(0)), "name").alias("mention"))
+    return e.join(_latest_chunks(spark, d), "chunk_id").select("entity_row_id", extraction.short_quote(F.col("text"), F.col("mention")).alias("quote"))
+
+
 def numeric_expressions(spark, d):
     return measurements.extracted(_latest_chunks(spark, d), "chunk_id", "text")
 
@@ -189,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         block_markdown, markdown_lines, front_matter, sentences, chunk_documents, chunk_cover, chunk_report, text_yield_flags, image_references, signature_gate,
-        safe_paths, numeric_simple, numeric_expressions, unit_normalize, operator_normalize, glossary_match, nonoverlap_spans, synonym_candidates, alias_pairs,
+        safe_paths, numeric_simple, value_labels, short_quotes, numeric_expressions, unit_normalize, operator_normalize, glossary_match, nonoverlap_spans, synonym_candidates, alias_pairs,
         mock_extraction, convert_results, json_recover, mention_check,
     )
 }
@@ -223,6 +234,10 @@ SELECT doc_id, length(solid)::INT AS n_solid, md5(solid) AS digest FROM s WHERE
   ELSE regexp_replace(regexp_replace(regexp_extract(source_file, '([^/]+)$', 1), '[<>:"\\|?*]', '_', 'g'), '[. ]+$', '') END AS safe FROM parsed_blocks""",
     "numeric_simple": f"""WITH {_LC}, m AS (SELECT unnest(regexp_extract_all(text, '{measurements.SIMPLE}')) AS m FROM c)
 SELECT regexp_extract(m, '{measurements.SIMPLE}', 2) AS unit, count(*) AS n, round(max(replace(regexp_extract(m, '{measurements.SIMPLE}', 1), ',', '.')::DOUBLE), 4) AS largest FROM m GROUP BY 1""",
+    "value_labels": f"""WITH {_LC}, v AS (SELECT chunk_id, regexp_extract_all(text, '{measurements.SIMPLE}') AS v FROM c), u AS (SELECT *, list_filter(v, lambda x, i: list_position(v, x) = i)[:16] AS u FROM v)
+SELECT chunk_id, CASE WHEN len(v) = 0 THEN '—' ELSE array_to_string(u, '; ') || CASE WHEN len(v) > len(u) THEN '; ... +' || (len(v) - len(u)) ELSE '' END END AS label FROM u""",
+    "short_quotes": f"""WITH {_ENT1}, {_LC}, m AS (SELECT entity_row_id, text, instr(lower(text), lower(coalesce(mentions[1], trim(canonical_name)))) AS pos FROM ent JOIN c USING (chunk_id))
+SELECT entity_row_id, trim(substr(text, CASE WHEN pos > 80 THEN pos - 80 ELSE 1 END, 240)) AS quote FROM m""",
     "unit_normalize": f"""WITH {_ENT1}, u AS (SELECT trim(attributes['unit']) AS u FROM ent), a(u, v) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in UNIT_ALIASES.items())})
 SELECT coalesce(v, u.u) AS unit, count(*) AS n FROM u LEFT JOIN a ON a.u = u.u WHERE u.u <> '' GROUP BY 1""",
     "operator_normalize": f"WITH {_ENT1}, r AS (SELECT lower(trim(attributes['value_raw'])) AS raw FROM ent) SELECT {_OPS} AS operator, count(*) AS n FROM r WHERE raw <> '' GROUP BY 1",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import ontology
 from lodestone.functions.text import canonicalize
 from lodestone.operators import entities as E
-from lodestone.operators import quality
+from lodestone.operators import extraction, quality
 from lodestone.plans.sql import EDGES, ENT, SOURCE, canon, node
 from lodestone.session import table
 
@@ -55,6 +55,24 @@ def ensemble_relation_payloads(spark, d):
     return E.relation_payloads(edges(spark, d), E.merge_entities(entities(spark, d)))
 
 
+def edges_or_ids(spark, d):
+    return E.edges_or_ids(entities(spark, d), table(spark, d, "llm_relations"))
+
+
+def dialect_records(spark, d):
+    """Entities written in three dialects of field names, by their row number, and read back as one."""
+    e = table(spark, d, "llm_entities")
+    k = F.col("entity_row_id") % 3
+    a = e.where(k == 0).select("entity_row_id", F.col("source_document").alias("source_file"), "canonical_name", "type")
+    b = e.where(k == 1).select("entity_row_id", "source_document", F.col("canonical_name").alias("entity"), F.col("type").alias("entity_type"))
+    c = e.where(k == 2).select("entity_row_id", F.col("source_document").alias("file"), F.col("canonical_name").alias("label"), F.col("type").alias("kind"))
+    return extraction.one_dialect(a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True))
+
+
+def record_rejections(spark, d):
+    return extraction.rejections(table(spark, d, "llm_entities"), ontology.ENTITY_TYPES)
+
+
 def source_names(spark, d):
     return table(spark, d, "llm_relations").groupBy(E.source_name("extractor").alias("source")).agg(F.count("*").alias("n"))
 
@@ -134,7 +152,7 @@ def type_name_counts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalized_entities, safe_relation_types, type_name_counts, canonicalize_names, dedup_entities, ensemble_entities, ensemble_decisions, ensemble_relations, ensemble_entity_payloads, ensemble_relation_payloads, source_names, confidence_calibration,
+        normalized_entities, safe_relation_types, type_name_counts, canonicalize_names, dedup_entities, ensemble_entities, ensemble_decisions, ensemble_relations, ensemble_entity_payloads, ensemble_relation_payloads, edges_or_ids, dialect_records, record_rejections, source_names, confidence_calibration,
         attribute_merge, graph_upsert_nodes, graph_upsert_edges, graph_satellites, graph_stats, unknown_types, alias_resolve, quality_issues,
         knowledge_gaps, contradictions,
     )
@@ -199,6 +217,14 @@ LEFT JOIN mm ON mm.chunk_id = k.chunk_id AND mm.type = k.type AND mm.canon = k.c
 j AS (SELECT r.*, coalesce(a.local_id, s_type || ':' || s_canon) AS source_id, coalesce(b.local_id, t_type || ':' || t_canon) AS target_id FROM r
   LEFT JOIN m a ON a.chunk_id = r.chunk_id AND a.type = s_type AND a.canon = s_canon LEFT JOIN m b ON b.chunk_id = r.chunk_id AND b.type = t_type AND b.canon = t_canon)
 SELECT chunk_id, source_id, predicate, target_id, arg_max(q, (length(q), -relation_row_id)) AS quote, count(*) AS n_members FROM j GROUP BY 1, 2, 3, 4""",
+    "edges_or_ids": f"""WITH {EDGES}, nm AS (SELECT chunk_id, lower(name) AS key, arg_min(name, entity_row_id) AS named FROM ent GROUP BY 1, 2),
+x AS (SELECT relation_row_id, r.chunk_id, trim(predicate) AS predicate, trim(subject) AS s, trim(object) AS t FROM llm_relations r WHERE trim(predicate) <> ''),
+y AS (SELECT x.*, coalesce(a.name, c.named) AS sf, coalesce(b.name, e.named) AS tf FROM x LEFT JOIN ids a ON a.chunk_id = x.chunk_id AND a.local_id = s LEFT JOIN ids b ON b.chunk_id = x.chunk_id AND b.local_id = t
+  LEFT JOIN nm c ON c.chunk_id = x.chunk_id AND c.key = lower(s) LEFT JOIN nm e ON e.chunk_id = x.chunk_id AND e.key = lower(t))
+SELECT relation_row_id, coalesce(sf, nullif(s, ''), '?') AS source, predicate, coalesce(tf, nullif(t, ''), '?') AS target, (sf IS NOT NULL)::INT + (tf IS NOT NULL)::INT AS n_resolved FROM y""",
+    "dialect_records": "SELECT entity_row_id, source_document, canonical_name AS name, type FROM llm_entities",
+    "record_rejections": f"""WITH i AS (SELECT chunk_id, trim(coalesce(local_id, '')) AS id, count(*) AS n, count(*) FILTER (NOT coalesce(trim(type) IN ({_ALL}), false)) AS bad FROM llm_entities WHERE chunk_id IS NOT NULL GROUP BY 1, 2)
+SELECT chunk_id, sum(n)::BIGINT AS n_entities, sum(bad)::BIGINT AS n_bad_types, count(*) FILTER (id <> '' AND n > 1) AS n_repeated_ids, sum(bad) = 0 AND count(*) FILTER (id <> '' AND n > 1) = 0 AS accepted FROM i GROUP BY 1""",
     "source_names": f"SELECT {SOURCE} AS source, count(*) AS n FROM llm_relations GROUP BY 1",
     "confidence_calibration": f"""WITH {ENT}, e AS (SELECT *, {canon('name')} AS canon FROM ent WHERE confidence IS NOT NULL),
 s AS (SELECT type, canon, count(DISTINCT source_document) AS support FROM e GROUP BY 1, 2)

@@ -82,6 +82,13 @@ def edge_search(spark, d):
     return S.top_k(_edge_scores(spark, d)[1], 10)
 
 
+def edge_search_padded(spark, d):
+    """Ten edges for every question, those without a score last."""
+    e, scores = _edge_scores(spark, d)
+    q = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"))
+    return S.padded_top_k(scores, q, e, 10)
+
+
 def edge_search_seed_boost(spark, d):
     """Edges that touch the question's seed entity get 0.2 more."""
     e, scores = _edge_scores(spark, d)
@@ -119,7 +126,7 @@ def truncated_context(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_counts, search_index, bm25_topk, bm25_okapi_topk, binary_tf_bm25, dense_topk, rrf_hybrid, edge_documents, edge_search,
+        tokenize_counts, search_index, bm25_topk, bm25_okapi_topk, binary_tf_bm25, dense_topk, rrf_hybrid, edge_documents, edge_search, edge_search_padded,
         edge_search_seed_boost, snippets_titles, embedding_texts, short_text_filter, truncated_context,
     )
 }
@@ -169,6 +176,8 @@ nm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM h GROUP BY 1), dense AS (SEL
 fused AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM legs GROUP BY 1, 2) {_top('fused')}""",
     "edge_documents": f"WITH {_EDGE} SELECT doc_id, text FROM edocs",
     "edge_search": f"WITH {_EDGE} {_top('scores')}",
+    "edge_search_padded": f"""WITH {_EDGE}, qq AS (SELECT DISTINCT doc_id AS query_id FROM edocs WHERE doc_id % 100 = 0),
+every AS (SELECT qq.query_id, e.doc_id, coalesce(s.score, 0.0)::DOUBLE AS score FROM qq CROSS JOIN edocs e LEFT JOIN scores s ON s.query_id = qq.query_id AND s.doc_id = e.doc_id) {_top('every')}""",
     "edge_search_seed_boost": f"""WITH {_EDGE}, boosted AS (SELECT s.query_id, s.doc_id, round(s.score +
   CASE WHEN lower(e.s_name) = lower(x.s_name) OR lower(e.t_name) = lower(x.s_name) THEN 0.2 ELSE 0.0 END, 4) AS score
   FROM scores s JOIN edocs x ON x.doc_id = s.query_id JOIN edocs e ON e.doc_id = s.doc_id) {_top('boosted')}""",
