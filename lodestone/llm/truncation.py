@@ -22,6 +22,8 @@ on its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ from lodestone.session import parallel, scratch_dir, written
 PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
 MARKS = r"(?:\.\.\.|…|\[(?:\.\.\.|…)\]|\ufffd|>>)\s*$"
 ABBREVIATIONS = r"(?iu)(?:^|[\s(])(?:см|тыс|рис|табл|стр|мас|fig|no|vol|see)\.\s*$"
-BROKEN_ESCAPE = r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#?[0-9a-zA-Z]{0,8})|<[/a-zA-Z][^<>\n]*)$"
-TERMINATED = r"[.!?][\"'»”)\]]*$"
+BROKEN_ESCAPE = r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#?[0-9a-zA-Z]{0,8}))$"
+OPEN_TAG = r"^[/a-zA-Z][^>]*$"  # what stands behind the last '<'
+TERMINATORS = ".!?"
 CAPTION = r"(?iu)(?:^|[.!?\])»]\s+)(?:рис|рисунок|табл|таблица|схема|fig|figure|table|scheme)\.?\s*\d+[^!?]*$"
 LABEL = r"(?u)^(?:\p{L}+[ -]){0,2}\p{L}+:\s*\S"
 LIST_ITEM = r"(?u)^(?:[-*•–—]|\d{1,3}[.)])\s+\S"
@@ -43,6 +46,8 @@ OPEN_SHARE, PRIOR, LONG_LINE = 0.05, 1.0, 80
 _ATTRIBUTE = r"""\s+[A-Za-z:-]+=(?:"[^"]*"|'[^']*'|[^\s"'<>]+)"""
 _TOKEN = rf"""\\.|[0-9]?"|[()\[\]{{}}«»“”]|(?<![\p{{L}}\p{{N}}])<[A-Za-z][A-Za-z0-9]*(?:{_ATTRIBUTE})*\s*>|</[A-Za-z][A-Za-z0-9]*\s*>"""
 _END = "\x01"  # stands after each element of the stack
+_STOP = "\x03"  # stands after a text
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\x1c\x1d\x1e\x1f")
 
 
 def open_brackets(text: Column) -> Column:
@@ -61,14 +66,19 @@ def open_brackets(text: Column) -> Column:
         return F.when(passed, stack).when(closes, closed).otherwise(F.concat(stack, element))
 
     every, plain = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_TOKEN, r"[()\[\]{}«»“”]"))
-    tokens = F.when(text.rlike(r"[\"<\\]"), every).otherwise(plain)  # most texts hold brackets only
-    return F.when(text.rlike(r"[(\[{«“\"<]"), F.replace(F.aggregate(tokens, F.lit(""), step), F.lit(_END), F.lit(""))).otherwise("")
+    holds = lambda chars: functools.reduce(lambda a, b: a | b, [text.contains(c) for c in chars])
+    tokens = F.when(holds('"<\\'), every).otherwise(plain)  # most texts hold brackets only
+    return F.when(holds('([{«“"<'), F.replace(F.aggregate(tokens, F.lit(""), step), F.lit(_END), F.lit(""))).otherwise("")
 
 
 def _words(text: Column) -> Column:
-    """Words with digits as 9, and a line feed as the mark for the end of a line (or of the text)."""
+    """Words with digits as 9, and marks behind them: what ends with a line feed ends a line, with ``_STOP`` the text."""
     flat = F.regexp_replace(F.lower(text), r"[0-9]+(?:[.,][0-9]+)?", "9")
-    return F.regexp_extract_all(F.concat(flat, F.lit("\n")), F.lit(r"[\p{L}\p{N}]+|[.!?]*\s*\n"), F.lit(0))
+    return F.regexp_extract_all(F.concat(flat, F.lit(_STOP)), F.lit(rf"[\p{{L}}\p{{N}}]+|[.!?]*\s*[\n{_STOP}]"), F.lit(0))
+
+
+def _is_end(token: Column) -> Column:
+    return token.endswith("\n") | token.endswith(_STOP)
 
 
 def endings(docs: DataFrame, doc_id: str, text: str, source: str | None = None) -> DataFrame:
@@ -77,30 +87,31 @@ def endings(docs: DataFrame, doc_id: str, text: str, source: str | None = None)
     kind is 'cut', 'complete', 'open' (terminated, but something is left open), 'listlike' or 'unknown'; n_long, n_short and
     their terminated ones count the lines inside the text.
     """
-    t = F.regexp_replace(F.col(text), r"(?U)\s+$", "")
+    t = F.rtrim(text, F.lit(_BLANKS))
     own = F.lit("") if source is None else F.coalesce(F.col(source).cast("string"), F.lit(""))
     rows = docs.where(F.col(text).rlike(r"(?U)\S")).select(F.col(doc_id).alias("doc_id"), own.alias("source"), t.alias("t"))
     base = rows.select(
         "doc_id", "source", F.xxhash64("t").alias("digest"), F.trim(F.substring_index("t", "\n", -1)).alias("line"),
         F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "").alias("lines"), open_brackets(F.col("t")).alias("left_open"),
     ).withColumn("lines", F.slice("lines", 1, F.size("lines") - 1))
-    line = F.col("line")  # the other proofs lie in the last line
+    line = F.col("line")  # the other proofs lie at the end of the last line
+    last_sign = F.right(F.rtrim(line, F.lit("\"'»”)]")), F.lit(1))
     segment = F.regexp_replace(line, r"^.*[.!?][\"»”)\]]*(?:\s*\[\d+\])?\s+(?=\S)", "")
     proof = (
-        line.rlike(MARKS) | line.rlike(ABBREVIATIONS) | line.rlike(BROKEN_ESCAPE)
-        | line.rlike(r"[,;:(«\[{–—-]$") | ((F.left(segment, F.lit(1)) == "|") & (F.right(segment, F.lit(1)) != "|"))
+        F.right(line, F.lit(8)).rlike(MARKS) | F.right(line, F.lit(16)).rlike(ABBREVIATIONS) | F.right(line, F.lit(16)).rlike(BROKEN_ESCAPE)
+        | (line.contains("<") & F.substring_index(line, "<", -1).rlike(OPEN_TAG)) | F.right(line, F.lit(1)).isin(*",;:(«[{–—-") | ((F.left(segment, F.lit(1)) == "|") & (F.right(segment, F.lit(1)) != "|"))
     )
     kind = (
         F.when(proof, "cut")
-        .when(line.rlike(TERMINATED), F.when(F.col("left_open") != "", "open").otherwise("complete"))
+        .when(last_sign.isin(*TERMINATORS), F.when(F.col("left_open") != "", "open").otherwise("complete"))
         .when(F.col("left_open") != "", "cut")
         .when(segment.rlike(r"^\|.*\|$") | segment.rlike(r"^\(.*\)$"), "complete")
         .when(segment.rlike(r"^#+\s") | line.rlike(CAPTION) | segment.rlike(LABEL) | segment.rlike(LIST_ITEM), "listlike")
         .otherwise("unknown")
     )
-    words = F.filter(_words(line), lambda w: ~w.contains("\n"))
+    words = F.when(kind.isin("listlike", "unknown"), F.filter(_words(line), lambda w: ~_is_end(w)))
     long = lambda x: F.length(x) > LONG_LINE
-    ended = lambda x: F.right(F.rtrim(x, F.lit(" \t\r\"'»”)]")), F.lit(1)).isin(".", "!", "?")
+    ended = lambda x: F.right(F.rtrim(x, F.lit(" \t\r\"'»”)]")), F.lit(1)).isin(*TERMINATORS)
     count = lambda test: F.size(F.filter("lines", test))
     return base.select(
         "doc_id", "source", "digest", kind.alias("kind"), long(line).alias("long"),
@@ -123,22 +134,14 @@ def baselines(ends: DataFrame) -> DataFrame:
 
 def continuations(docs: DataFrame, text: str) -> DataFrame:
     """For each pair of neighbouring words of a line: how often it goes on, ends a line within the text, ends the text."""
-    w = _words(F.regexp_replace(F.col(text), r"(?U)\s+$", ""))
-    size = F.size("w")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))),
-        lambda i: F.struct(
-            F.when(i > 1, F.get(F.col("w"), i - 2)).otherwise("").alias("w1"), F.get(F.col("w"), i - 1).alias("w2"),
-            F.get(F.col("w"), i).alias("next"), (i == size - 1).alias("last"),
-        ),
-    )
-    rows = docs.where(F.col(text).isNotNull()).select(w.alias("w")).where("size(w) > 1").select(F.inline(pairs))
-    rows = rows.where(~F.col("w2").contains("\n"))
-    w1 = F.when(F.col("w1").contains("\n"), "").otherwise(F.col("w1"))
-    ends = F.col("next").contains("\n")
-    rows = rows.select(w1.alias("w1"), "w2", ends.alias("ends"), "last")
-    return rows.groupBy("w1", "w2").agg(
-        F.count_if(~F.col("ends")).alias("n_on"), F.count_if(F.col("ends") & ~F.col("last")).alias("n_line"), F.count_if("last").alias("n_text")
+    w = _words(F.rtrim(text, F.lit(_BLANKS)))
+    n = F.size("w")
+    before, own, after = F.concat(F.array(F.lit("")), F.slice("w", 1, n - 2)), F.slice("w", 1, n - 1), F.slice("w", 2, n - 1)
+    rows = docs.where(F.col(text).isNotNull()).select(w.alias("w")).where("size(w) > 1")
+    rows = rows.select(F.inline(F.arrays_zip(before.alias("w1"), own.alias("w2"), after.alias("next")))).where(~_is_end(F.col("w2")))
+    w1, last = F.when(_is_end(F.col("w1")), "").otherwise(F.col("w1")), F.col("next").endswith(_STOP)
+    return rows.groupBy(w1.alias("w1"), "w2").agg(
+        F.count_if(~_is_end(F.col("next"))).alias("n_on"), F.count_if(F.col("next").endswith("\n")).alias("n_line"), F.count_if(last).alias("n_text")
     )
 
 
