@@ -349,7 +349,7 @@ def reference_spellings(reference: DataFrame, entry_id: str, name: str, aliases:
     """(entry, spelling) of names and aliases, without blank ones."""
     every = F.explode(F.concat(F.array(name), F.coalesce(F.col(aliases), F.array().cast("array<string>"))))
     out = reference.select(F.col(entry_id).alias("entry"), every.alias("spelling"))
-    return out.where("trim(spelling) <> ''").distinct()
+    return out.where("entry is not null and trim(spelling) <> ''").distinct()
 
 
 def _search(scores: dict):

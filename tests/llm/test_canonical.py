@@ -73,6 +73,9 @@ def test_rows(spark):
     ]
     assert _map(spark, rows) == {1: "p1", 2: "m2", 3: "p1", 4: None, 5: None, 6: None, 7: None, 8: "m1", 9: "m1", 10: None}
     assert _map(spark, []) == {}
+    none = canonical.reference_spellings(spark.createDataFrame([(None, "медь", ["x"]), ("a", None, None)], G), "canonical_id", "canonical_name", "aliases")
+    df = spark.createDataFrame([(1, "медь", None), (2, None, None)], "id bigint, name string, mentions array<string>")
+    assert {r.row_id: r.entry for r in canonical.mapped_rows(df, "id", "name", "mentions", none).collect()} == {1: None, 2: None}
 
 
 @pytest.mark.parametrize("shard", [1, 3, 20_000])
