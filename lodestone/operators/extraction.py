@@ -48,10 +48,10 @@ def parsed(answers: DataFrame, text: str) -> DataFrame:
     Nearly all answers parse from their first brace on, in the JVM; only those that don't, for prose with braces before the
     object or none at all, are read token by token.
     """
-    quick = answers.withColumn("answer", F.when(F.instr(text, "{") > 0, F.from_json(F.substring(F.col(text), F.instr(text, "{"), F.length(text)), ANSWER)))
-    fine = F.col("answer.entities").isNotNull() | F.col("answer.relations").isNotNull()
-    rest = quick.where(~F.coalesce(fine, F.lit(False))).drop("answer")
-    return quick.where(fine).unionByName(rest.withColumn("answer", F.from_json(recovered_json(text), ANSWER)))
+    quick = answers.withColumn("__quick", F.when(F.instr(text, "{") > 0, F.from_json(F.substring(F.col(text), F.instr(text, "{"), F.length(text)), ANSWER)))
+    fine = F.coalesce(F.col("__quick.entities").isNotNull() | F.col("__quick.relations").isNotNull(), F.lit(False))
+    slow = F.from_json(recovered_json(F.when(~fine, F.col(text))), ANSWER)  # only texts that need it cross to Python
+    return quick.withColumn("answer", F.when(fine, F.col("__quick")).otherwise(slow)).drop("__quick")
 
 
 def converted(records: DataFrame) -> DataFrame:
