@@ -16,19 +16,15 @@ def _docs(spark, d):
 
 def _index(spark, d, binary=False):
     """The stored index of all documents: built with the first ranking over a data folder, read by every later one."""
-    name, source = f"index{'-binary' if binary else ''}", f"{d}/documents.parquet"
-    posting = kept(spark, f"{name}-terms", source, lambda: S.postings(_docs(spark, d), "doc_id", S.tokenize("text"), binary))
-    whole = S.indexed(posting)
-    return S.Index(
-        kept(spark, f"{name}-postings", source, lambda: whole.postings.repartition("term").sortWithinPartitions("term", "doc_id")),
-        kept(spark, f"{name}-frequencies", source, lambda: whole.terms), kept(spark, f"{name}-totals", source, lambda: whole.totals),
-    )
+    name, source = f"bags{'-binary' if binary else ''}", f"{d}/documents.parquet"
+    whole = S.indexed(kept(spark, name, source, lambda: S.bags(_docs(spark, d), "doc_id", S.tokenize("text"), binary)))
+    return S.Index(whole.bags, kept(spark, f"{name}-frequencies", source, lambda: whole.terms), kept(spark, f"{name}-totals", source, lambda: whole.totals))
 
 
 def search_index(spark, d):
     """Builds the index where it isn't there, and tells its size."""
     i = _index(spark, d)
-    n = i.postings.agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    n = i.bags.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).cast("bigint").alias("n_postings"), F.sum("dl").alias("n_tokens"))
     return i.totals.select("n_docs").crossJoin(n).crossJoin(i.terms.agg(F.count("*").alias("n_terms"), F.max("df").alias("largest_df")))
 
 
@@ -43,15 +39,15 @@ def tokenize_counts(spark, d):
 
 
 def bm25_topk(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), _index(spark, d)), 10)
+    return S.bm25_top_k(_questions(spark, d), _index(spark, d), 10)
 
 
 def bm25_okapi_topk(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), _index(spark, d), idf="okapi"), 10)
+    return S.bm25_top_k(_questions(spark, d), _index(spark, d), 10, idf="okapi")
 
 
 def binary_tf_bm25(spark, d):
-    return S.top_k(S.bm25(_questions(spark, d), _index(spark, d, binary=True), idf="okapi"), 10)
+    return S.bm25_top_k(_questions(spark, d), _index(spark, d, binary=True), 10, idf="okapi")
 
 
 def dense_topk(spark, d):
@@ -62,8 +58,8 @@ def dense_topk(spark, d):
 def rrf_hybrid(spark, d):
     """Both legs rank the documents: by their words and by vectors of their hashed words."""
     index = _index(spark, d)
-    lexical = S.top_k(S.bm25(_questions(spark, d), index), 50)
-    v = written(S.hashed_vectors(index.postings), scratch_dir(spark, "vectors"))
+    lexical = S.bm25_top_k(_questions(spark, d), index, 50)
+    v = written(S.hashed_vectors(index.bags), scratch_dir(spark, "vectors"))
     dense = S.dense_top_k(v, "doc_id", "v", v.where("doc_id % 100 = 0"), 50)
     return S.top_k(S.rrf([lexical, dense]), 10)
 
@@ -72,31 +68,30 @@ def edge_documents(spark, d):
     return S.edge_documents(edges(spark, d)).select("doc_id", "text")
 
 
-def _edge_scores(spark, d):
+def _edge_index(spark, d):
+    """Edges, the terms of every hundredth's subject, and the index of their texts; the names at their ends stay beside the bags."""
     e = written(S.edge_documents(edges(spark, d)), scratch_dir(spark, "edges"))
     q = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(S.tokenize("s_name")).alias("term"))
-    return e, S.bm25(q, written(S.postings(e, "doc_id", S.tokenize("text")), scratch_dir(spark, "postings")))
+    ends = e.withColumn("ends", F.array(F.struct(F.lower("s_name").alias("a"), F.lower("t_name").alias("b"))))
+    return e, q, S.indexed(written(S.bags(ends, "doc_id", S.tokenize("text"), keep="ends"), scratch_dir(spark, "bags")))
 
 
 def edge_search(spark, d):
-    return S.top_k(_edge_scores(spark, d)[1], 10)
+    _, q, index = _edge_index(spark, d)
+    return S.bm25_top_k(q, index, 10)
 
 
 def edge_search_padded(spark, d):
     """Ten edges for every question, those without a score last."""
-    e, scores = _edge_scores(spark, d)
-    q = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"))
-    return S.padded_top_k(scores, q, e, 10)
+    e, q, index = _edge_index(spark, d)
+    return S.padded_top_k(S.bm25_top_k(q, index, 10), e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id")), e, 10)
 
 
 def edge_search_seed_boost(spark, d):
     """Edges that touch the question's seed entity get 0.2 more."""
-    e, scores = _edge_scores(spark, d)
+    e, q, index = _edge_index(spark, d)
     seed = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.lower("s_name").alias("seed"))
-    ends = e.select("doc_id", F.lower("s_name").alias("a"), F.lower("t_name").alias("b"))
-    s = scores.join(seed, "query_id").join(ends, "doc_id")
-    boost = F.when((F.col("a") == F.col("seed")) | (F.col("b") == F.col("seed")), 0.2).otherwise(0.0)
-    return S.top_k(s.select("query_id", "doc_id", F.round(F.col("score") + boost, 4).alias("score")), 10)
+    return S.bm25_top_k(q, index, 10, seeds=seed)
 
 
 def snippets_titles(spark, d):
