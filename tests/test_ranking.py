@@ -41,7 +41,7 @@ def same_as_sql(name, folder, got, tables=("documents",)):
     assert len(want) and oracle.rows(got) == oracle.rows(want)
 
 
-@pytest.mark.parametrize("name", ["bm25_okapi_topk", "bm25_topk", "binary_tf_bm25"])
+@pytest.mark.parametrize("name", ["bm25_okapi_topk", "bm25_topk", "binary_tf_bm25", "rrf_hybrid"])
 def test_no_row_for_each_pair(spark, folder, name):
     entry.queries()["search_index"](spark, folder).collect()
     before = shuffled(spark)
