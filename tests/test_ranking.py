@@ -48,3 +48,17 @@ def test_no_row_for_each_pair(spark, folder, name):
     got = entry.queries()[name](spark, folder).toPandas()
     assert 0 < shuffled(spark, before) < N * N / 100 / 3
     same_as_sql(name, folder, got)
+
+
+def test_no_row_for_each_pair_of_edges(spark, tmp_path):
+    """The given facts many times over, one relation twice."""
+    for name, key in (("llm_entities", "entity_row_id"), ("llm_relations", "relation_row_id")):
+        rows = spark.read.parquet(f"{oracle.DATA}/{name}.parquet").crossJoin(spark.range(20).withColumnRenamed("id", "copy"))
+        rows = rows.withColumns({key: rows[key] + rows["copy"] * 100_000, "chunk_id": F.concat("chunk_id", F.lit("-"), "copy")}).drop("copy")
+        if name == "llm_relations":
+            rows = rows.unionByName(rows.where(f"{key} in (100, 200, 201)"))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = shuffled(spark)
+    got = entry.queries()["edge_search_seed_boost"](spark, str(tmp_path)).toPandas()
+    assert 0 < shuffled(spark, before) < 4 * spark.read.parquet(str(tmp_path / "llm_entities.parquet")).count()
+    same_as_sql("edge_search_seed_boost", tmp_path, got, ("llm_entities", "llm_relations"))
