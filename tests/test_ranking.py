@@ -1,5 +1,6 @@
 """Rankings of many questions over many documents: the same rows as DuckDB, and no row for each pair of them."""
 
+import os
 import random
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestone import answer
 from tests import oracle
 
 N = 3000
@@ -62,3 +64,20 @@ def test_no_row_for_each_pair_of_edges(spark, tmp_path):
     got = entry.queries()["edge_search_seed_boost"](spark, str(tmp_path)).toPandas()
     assert 0 < shuffled(spark, before) < 4 * spark.read.parquet(str(tmp_path / "llm_entities.parquet")).count()
     same_as_sql("edge_search_seed_boost", tmp_path, got, ("llm_entities", "llm_relations"))
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test tables here")
+def test_plan_of_answers_holds_the_edges_once(spark):
+    """The joins that make the edges are run before, not planned again for each use of them."""
+    df = entry.queries()["answers"](spark, oracle.DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 40 and "llm_entities.parquet" not in plan and df.count()
+
+
+def test_facts_of_shared_names_are_cut_for_each_name(spark):
+    """A hundred questions for one name meet its best facts only."""
+    edges = spark.createDataFrame([(i, "A", "p", "b", "d", i % 50 / 50) for i in range(2000)], "relation_row_id long, s_name string, predicate string, t_name string, source_document string, confidence double")
+    seeds = spark.createDataFrame([(q, n) for q in range(100) for n in ("a", "B")], "query_id long, name string")
+    before = shuffled(spark)
+    got = answer.graph_facts(seeds, edges, 3).collect()
+    assert sorted(r["rank"] for r in got) == [1] * 100 + [2] * 100 + [3] * 100 and shuffled(spark, before) < 20_000
